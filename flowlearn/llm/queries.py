@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, simhash, toxicity
 from .base import sha, table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -40,4 +40,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op6_byte_bpe": op6_byte_bpe}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, ~held_out("id")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("restored").alias("n_restored"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op6_byte_bpe": op6_byte_bpe, "op10_toxicity": op10_toxicity}
