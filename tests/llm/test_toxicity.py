@@ -78,6 +78,6 @@ def test_lexicon_ignores_copies():
     words = [f"rare{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
     copies = [(" ".join(words), 1)] * 50
     toxic = [(f"vile {' '.join(chr(97 + i) * k for k in range(3, 9))}", 1) for i in range(20)]
-    clean = [(f"fine {' '.join(chr(97 + i) * k for k in range(9, 15))}", 0) for i in range(20)] * 3
+    clean = [(f"fine {' '.join(chr(97 + i) * k + chr(97 + j) for k in range(9, 15))}", 0) for i in range(20) for j in range(10)]
     got = toxicity.fit_lexicon(iter([*copies, *toxic, *clean]))
     assert "=vile" in got and not any("rare" in f for f in got)
