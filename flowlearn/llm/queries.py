@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, simhash, toxicity
+from . import bpe, decontaminate, pii, simhash, toxicity
 from .base import sha, table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -40,6 +40,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, sha(listed("base")).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0
@@ -47,4 +58,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("restored").alias("n_restored"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op6_byte_bpe": op6_byte_bpe, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op6_byte_bpe": op6_byte_bpe, "op8_pii": op8_pii, "op10_toxicity": op10_toxicity}
