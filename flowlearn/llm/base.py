@@ -96,7 +96,7 @@ def map_text(df: DataFrame, keep: list[str], text: str, work: Callable[[list[str
 
     kept = [df.schema[k] for k in keep]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), schema])
-    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string")).mapInArrow(run, ddl)
+    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string").alias("text to map")).mapInArrow(run, ddl)
 
 
 def sha(column: Column) -> Column:
