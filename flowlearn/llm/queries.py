@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, simhash, toxicity
+from . import bpe, decontaminate, pii, simhash, tokenfile, toxicity
 from .base import sha, table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, sha(listed("base")).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder, manifest = tokenfile.write(docs, public_tokenizers.path(WORD_BPE))
+    stored = tokenfile.read(spark, folder, manifest, docs.schema["doc_id"].dataType.simpleString())
+    return stored.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0
@@ -58,4 +66,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("restored").alias("n_restored"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op6_byte_bpe": op6_byte_bpe, "op8_pii": op8_pii, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op6_byte_bpe": op6_byte_bpe, "op8_pii": op8_pii, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
