@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, simhash, tokenfile, toxicity
+from . import bpe, decontaminate, divergence, langid, pii, simhash, tokenfile, toxicity
 from .base import sha, table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -26,6 +26,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1
+    told = langid.identify(docs, langid.learn(docs, ~held_out("id")))
+    return told.select("doc_id", held_out("doc_id").alias("held_out"), F.col("best").alias("lang_pred"), "score", "rejected")
+
+
+def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = divergence.verdicts(docs, divergence.references(docs))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -66,4 +79,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("restored").alias("n_restored"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op6_byte_bpe": op6_byte_bpe, "op8_pii": op8_pii, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_compression_langid": op2_compression_langid, "op4_divergence": op4_divergence, "op5_simhash": op5_simhash, "op6_byte_bpe": op6_byte_bpe, "op8_pii": op8_pii, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
