@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, divergence, langid, pii, simhash, tokenfile, toxicity
+from . import bpe, decontaminate, divergence, langid, pii, simhash, tokenfile, toxicity, unigram, weaklabel
 from .base import sha, table
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
+PIECE_MODEL = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -33,6 +34,10 @@ def op2_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out("doc_id").alias("held_out"), F.col("best").alias("lang_pred"), "score", "rejected")
 
 
+def op3_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(table(spark, sf_dir, "documents"), unigram.pieces_of(public_tokenizers.path(PIECE_MODEL)))
+
+
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = divergence.verdicts(docs, divergence.references(docs))
@@ -54,6 +59,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return weaklabel.score(docs, weaklabel.fit(docs)).select("doc_id", F.round("score", 9).alias("score"), "good")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -79,4 +89,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("restored").alias("n_restored"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_compression_langid": op2_compression_langid, "op4_divergence": op4_divergence, "op5_simhash": op5_simhash, "op6_byte_bpe": op6_byte_bpe, "op8_pii": op8_pii, "op9_token_files": op9_token_files, "op10_toxicity": op10_toxicity}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_compression_langid,
+        op3_unigram_counts,
+        op4_divergence,
+        op5_simhash,
+        op6_byte_bpe,
+        op7_weak_label_quality,
+        op8_pii,
+        op9_token_files,
+        op10_toxicity,
+    )
+}
