@@ -21,6 +21,7 @@ count as none. Extra columns are dropped first.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from array import array
 from collections import Counter, defaultdict
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .base import Memo, cut, map_text, texts
 
 #: Documents that the lexicon is fitted on, at most.
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 8_000
 #: Letters of the character model besides the word boundary and the class of all other letters.
 LETTERS = 63
 #: Standard deviations of the lower bound; least weight of a lexicon entry; word beginnings used.
@@ -61,6 +62,8 @@ _WORD = regex.compile(r"\p{L}+")
 _EDGE = ".,;:?'\"()[]{}<>#%&*|~^=/\\-_+`"  # and ! at the end
 _APART = regex.compile(r"(?<!\S)[\p{L}\p{N}@$!|+*](?:[ .\-_*/|,]{1,3}[\p{L}\p{N}@$!|+*]){2,}(?![\p{L}\p{N}])")
 _ODD = regex.compile(r"\p{L}.*[^\p{L}\p{M}'’].*|[^\p{L}\p{M}'’].*\p{L}.*|.*(\p{L})\1\1.*", regex.DOTALL)
+_APART_HINT = re.compile(r"(?:^|\s)\S[ .\-_*/|,]{1,3}\S[ .\-_*/|,]")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _TAIL = regex.compile(r"^([^\p{L}\p{N}\s])\1{2,}|([^\p{L}\p{N}\s])\2{2,}$")
 
 
@@ -140,15 +143,6 @@ def decode(segment: str, model: CharModel) -> str:
     return " ".join(max(ends)[1].split())
 
 
-def tokens(text: str) -> Iterator[str]:
-    """Lower-cased tokens without their edges, and segments of letters that are set apart."""
-    low = text.lower()
-    if regex.search(r"(?<!\S)\S[ .\-_*/|,]{1,3}\S[ .\-_*/|,]", low):
-        for m in _APART.finditer(low):
-            yield m.group()
-    yield from set(low.split())
-
-
 def core(token: str) -> str:
     while True:
         cut_off = _TAIL.sub("", token).strip(_EDGE).rstrip("!")
@@ -168,49 +162,56 @@ def _squeezed(word: str) -> str:
 class Scorer:
     def __init__(self, lexicon: dict[str, float], model: CharModel):
         self.lexicon, self.model = lexicon, model
+        #: No word that starts otherwise has weight.
+        self.starts = {f[1:][: PREFIXES[0]] for f in lexicon}
         self.of_word = Memo(lambda w: max((self.lexicon.get(f, 0.0) for f in features(w)), default=0.0))
-        self.of_token = Memo(self._token)
+        self.of_odd = Memo(self._odd, 50_000)
         #: Words by their letters without repetition: how often a letter was repeated is lost.
         self.once: dict[str, float] = {}
         for f, w in lexicon.items():
             if f[0] == "=":
                 self.once[_squeezed(f[1:])] = max(w, self.once.get(_squeezed(f[1:]), 0.0))
 
-    def words_of(self, token: str) -> tuple[list[str], str]:
-        """The words that a token holds, and its reading if it had to be decoded."""
-        if token.isalpha() and not regex.search(r"(.)\1\1", token):
-            return [token], ""
+    def _odd(self, token: str) -> tuple[dict[str, float], str]:
+        """The weighty words of a token that isn't one plain word, and its reading if it was
+        decoded. Both the words as they stand and the reading count: decoding hides no word."""
         inner = core(token)
-        if not inner or inner.isalpha() and not regex.search(r"(.)\1\1", inner):
-            return [inner] if inner else [], ""
-        plain = _WORD.findall(inner)
-        if not plain:
-            return [], ""
-        if not _ODD.fullmatch(inner):
-            return plain, ""
-        # Both the words as they stand and the reading count: decoding never hides a word.
-        read = decode(inner, self.model)
-        return [*plain, *_WORD.findall(read)], read
-
-    def _token(self, token: str) -> tuple[tuple[str, float], ...]:
-        """The weighty words of a token."""
-        words, read = self.words_of(token)
-        found = {w: self.of_word[w] for w in words}
-        for w in _WORD.findall(read):
-            found[w] = max(found.get(w, 0.0), self.once.get(_squeezed(w), 0.0))
-        return tuple((w, x) for w, x in found.items() if x > 0)
+        words, read = _WORD.findall(inner), ""
+        found = {w: self.of_word[w] for w in words if w[: PREFIXES[0]] in self.starts}
+        if words and _ODD.fullmatch(inner):
+            read = decode(inner, self.model)
+            for w in _WORD.findall(read):
+                found[w] = max(self.of_word[w], self.once.get(_squeezed(w), 0.0))
+        return {w: x for w, x in found.items() if x > 0}, read
+
+    def judged(self, text: str) -> tuple[float, list[tuple[str, str]]]:
+        """The score of a text; the segments that hid a weighty word, and their readings."""
+        low = text.lower()
+        found: dict[str, float] = {}
+        hidden: list[tuple[str, str]] = []
+        starts, k, of_word, odd = self.starts, PREFIXES[0], self.of_word, []
+        for token in set(low.split()):
+            word = token if token.isalpha() else token.rstrip(".,;:?!")
+            if not word.isalpha():
+                if word:
+                    odd.append(token)
+            elif word[:k] in starts:
+                found[word] = of_word[word]
+        if _TRIPLE.search(low):
+            odd += [t for t in set(low.split()) if _TRIPLE.search(t)]
+        if _APART_HINT.search(low):
+            odd += [m.group() for m in _APART.finditer(low)]
+        for token in dict.fromkeys(odd):
+            words, read = self.of_odd[token]
+            if words:
+                found |= words
+                if read:
+                    hidden.append((token, read))
+        weights = [w for w in found.values() if w > 0]
+        return (1.0 - math.prod(1.0 - w for w in weights) if weights else 0.0), sorted(hidden)
 
     def score(self, text: str) -> float:
-        found = dict(x for t in tokens(text) for x in self.of_token[t])
-        return 1.0 - math.prod(1.0 - w for w in found.values()) if found else 0.0
-
-    def restored(self, text: str) -> list[tuple[str, str]]:
-        """Segments that were decoded into other words with weight, with their reading."""
-        seen = []
-        for t in dict.fromkeys(tokens(text)):
-            if self.of_token[t] and (read := self.words_of(t)[1]):
-                seen.append((t, read))
-        return sorted(seen)
+        return self.judged(text)[0]
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -358,6 +359,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], CharModel], keep: list
             _scorers.clear()
             s = _scorers[name] = Scorer(*sent.value)
         pair = pa.struct([("seen", pa.string()), ("read", pa.string())])
-        return {"score": pa.array([s.score(t) for t in batch], pa.float64()), "restored": pa.array([[{"seen": a, "read": b} for a, b in s.restored(t)] for t in batch], pa.list_(pair))}
+        found = [s.judged(t) for t in batch]
+        return {"score": pa.array([x for x, _ in found], pa.float64()), "restored": pa.array([[{"seen": a, "read": b} for a, b in h] for _, h in found], pa.list_(pair))}
 
     return map_text(docs, ["doc_id"] if keep is None else keep, text, work, "score double, restored array<struct<seen: string, read: string>>")
