@@ -39,7 +39,7 @@ def _frame(flows: DataFrame, seconds: float, history: int, keys: tuple[str, ...]
     n = F.size("past")
     same = F.size(F.filter("past", lambda r: r["resp_p"] == F.col("resp_p")))
     return flows.withColumn("past", past).select(
-        *flows.columns,
+        *[F.col(f"`{c}`") for c in flows.columns],
         n.cast("double").alias("win_flow_count"),
         F.size(F.array_distinct(F.transform("past", lambda r: r["resp_p"]))).cast("double").alias("win_unique_resp_p"),
         F.size(F.array_distinct(F.transform("past", lambda r: r["resp_h"]))).cast("double").alias("win_unique_resp_h"),

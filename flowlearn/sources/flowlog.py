@@ -111,7 +111,7 @@ def from_events(events: DataFrame) -> DataFrame:
     duration = F.when(e % 7 == 0, "-").when(e % 11 == 0, "?").when(e % 13 == 0, "").otherwise(F.col("value").cast("string"))
     label = F.concat(F.lit("-   "), F.when(F.col("event_type") == "error", "Malicious").otherwise("benign"), F.lit("   "), F.when(F.col("event_type") == "error", F.concat(F.lit("Attack"), (e % 3).cast("string"))).otherwise("-"))
     fields = [
-        (F.unix_micros("ts") / 1e6).cast("decimal(20,6)").cast("string"), F.concat(F.lit("C"), e.cast("string")), F.col("user_id").cast("string"), F.lit("1"), (k.cast("int") % 10).cast("string"), k,
+        (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))") / 1e6).cast("decimal(20,6)").cast("string"), F.concat(F.lit("C"), e.cast("string")), F.col("user_id").cast("string"), F.lit("1"), (k.cast("int") % 10).cast("string"), k,
         F.col("event_type"), F.when(e % 5 == 0, "-").otherwise(F.concat(F.lit("svc"), (k.cast("int") % 4).cast("string"))), duration, (e % 1000).cast("string"), F.when(e % 9 == 0, "-").otherwise((e % 77).cast("string")),
         F.when(e % 2 == 0, "SF").otherwise("S0"), F.lit("-"), F.lit("-"), (e % 3).cast("string"), F.substring(F.lit("ShADadFfRrHC"), F.lit(1), (e % 12 + 1).cast("int")),
         (e % 10).cast("string"), (e % 100).cast("string"), (e % 8).cast("string"), (e % 50).cast("string"), label,
