@@ -126,9 +126,9 @@ def transform(flows: DataFrame, encoder: Encoder, **window) -> DataFrame:
     return raw.select("scenario", "row_seq", F.concat(F.array(*scaled, *missing), *blocks).cast(f"array<{encoder.datatype}>").alias("features"), "label")
 
 
-def check(encoded: DataFrame, encoder: Encoder) -> dict[str, int]:
-    """Rows, benign and malicious; ValueError unless all features are finite, labels binary,
-    indicators 0 or 1 and each one-hot block sums to one."""
+def check(encoded: DataFrame, encoder: Encoder) -> dict[str, dict[str, int]]:
+    """Rows, benign and malicious of each scenario; ValueError unless all features are finite,
+    labels binary, indicators 0 or 1 and each one-hot block sums to one."""
     n, at, blocks = len(encoder.numerics), 2 * len(encoder.numerics), []
     for v in encoder.vocabularies:
         blocks.append(F.aggregate(F.slice("features", at + 1, len(v) + 1), F.lit(0.0), lambda s, f: s + f) == 1)
@@ -140,7 +140,8 @@ def check(encoded: DataFrame, encoder: Encoder) -> dict[str, int]:
         "width": F.size("features") == len(encoder.feature_names),
         **{f"one_hot_{c}": b for c, b in zip(encoder.categoricals, blocks)},
     }
-    found = encoded.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == 0).alias("benign"), F.count_if(F.col("label") == 1).alias("malicious"), *[F.count_if(~F.coalesce(r, F.lit(False))).alias(k) for k, r in rules.items()]).first().asDict()
-    if broken := [k for k in rules if found[k]]:
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == 0).alias("benign"), F.count_if(F.col("label") == 1).alias("malicious")]
+    found = encoded.groupBy("scenario").agg(*counts, *[F.count_if(~F.coalesce(r, F.lit(False))).alias(k) for k, r in rules.items()]).collect()  # a row for each scenario
+    if broken := sorted({k for k in rules for r in found if r[k]}):
         raise ValueError(f"encoded rows break: {', '.join(broken)}")
-    return {k: found[k] for k in ("rows", "benign", "malicious")}
+    return {r.scenario: {k: r[k] for k in ("rows", "benign", "malicious")} for r in found}

@@ -79,10 +79,10 @@ def prepare(lines: DataFrame, s: Settings, expected_scenarios: int | None = 23,
     by = {r.dataset: r for r in found}
     rows = []
     for name, e in encoders.items():
-        for held in (s.validation_scenario, s.test_scenario):
-            if held in e.fitted_scenarios:
-                raise ValueError(f"{held} leaked into the encoder")
-            got = encode.check(encode.transform(flows.where(F.col("scenario") == held), e, **(s.window if name == "behavioral" else {})), e)
+        if leaked := {s.validation_scenario, s.test_scenario} & set(e.fitted_scenarios):
+            raise ValueError(f"{sorted(leaked)} leaked into the encoder")
+        held_out = flows.where(F.col("scenario").isin(s.validation_scenario, s.test_scenario))
+        for held, got in encode.check(encode.transform(held_out, e, **(s.window if name == "behavioral" else {})), e).items():
             if got != {k: by[held][k] for k in ("rows", "benign", "malicious")}:
                 raise ValueError(f"{held}: encoded rows differ from the profile")
             rows.append((name, held, got["rows"], got["benign"], got["malicious"], len(e.feature_names), e.datatype, e.log, len(e.fitted_scenarios), "passed"))
