@@ -126,7 +126,7 @@ class RandomFeatureClassifier:
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], listed], names=[*names, "scores"])
 
         ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "scores array<double>"])
-        return df.select(F.col(features).alias("features to score"), *[F.col(f"`{n}`") for n in names]).mapInArrow(run, ddl)
+        return df.select(F.col(features).alias("features to score"), *[F.col(f"`{n}`").alias(f"kept {i}") for i, n in enumerate(names)]).mapInArrow(run, ddl)
 
     def predict(self, df: DataFrame, features: str = "features") -> DataFrame:
         """``df`` with ``scores`` and ``predicted``: the class of the greatest score, the first of equals."""

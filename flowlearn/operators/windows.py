@@ -97,4 +97,4 @@ def _exact(flows: DataFrame, seconds: float, history: int, keys: tuple[str, ...]
     dealt = flows.repartition(*keys).sortWithinPartitions(*keys, "row_seq")
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in flows.schema), _OUT])
     work = [F.col(f"`{c}`").alias(f"work {i}") for i, c in enumerate([*keys, "ts", "resp_h", "resp_p"])]
-    return dealt.select(*work, *[F.col(f"`{n}`") for n in names]).mapInArrow(run, ddl)
+    return dealt.select(*work, *[F.col(f"`{n}`").alias(f"kept {i}") for i, n in enumerate(names)]).mapInArrow(run, ddl)
