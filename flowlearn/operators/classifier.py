@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import os
-import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -158,14 +158,29 @@ class RandomFeatureClassifier:
         return self.decision(df, features, positive).withColumn("predicted", F.when(F.col("decision") >= threshold, F.lit(self.classes[p])).otherwise(F.lit(self.classes[n])))
 
     def save(self, path: str) -> str:
-        """Write whole or not at all."""
+        """Write arrays and settings; the file appears whole or not at all."""
         self._fitted()
+        name = next((k for k, f in ACTIVATIONS.items() if f is self.activation), None)
+        if name is None:
+            raise ValueError("only models with a named activation can be saved")
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        about = json.dumps({"hidden": self.hidden, "activation": name, "ridge": self.ridge, "seed": self.seed, "classes": self.classes})
         with open(f"{path}.tmp", "wb") as f:
-            pickle.dump(self, f)
+            np.savez(f, weights=self.weights, biases=self.biases, readout=self.readout, about=np.array(about))
         os.replace(f"{path}.tmp", path)
         return path
 
+    @classmethod
+    def load(cls, path: str) -> RandomFeatureClassifier:
+        if not os.path.exists(path):
+            raise ValueError(f"model file does not exist: {path}")
+        with np.load(path) as found:
+            about = json.loads(str(found["about"]))
+            classes = about.pop("classes")
+            out = cls(**about, weights=found["weights"], biases=found["biases"])
+            out.readout, out.classes = found["readout"], classes
+        return out
+
 
 def hidden_layer(features: Column, weights: list[list[float]], biases: list[float], activation: Callable[[Column], Column] = F.abs) -> Column:
     """A small hidden layer as one expression; ``weights`` by hidden unit."""

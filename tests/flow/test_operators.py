@@ -200,6 +200,18 @@ def test_classifier(spark):
         m.decision(df, "x", "nobody")
 
 
+def test_classifier_files(spark, tmp_path):
+    df = spark.createDataFrame(POINTS, "x array<double>, y string")
+    m = classifier.RandomFeatureClassifier(20, seed=7).fit(df, "x", "y")
+    back = classifier.RandomFeatureClassifier.load(m.save(str(tmp_path / "a" / "model.npz")))
+    assert back.classes == m.classes and [r.predicted for r in back.predict(df, "x").collect()] == [y for _, y in POINTS]
+    with pytest.raises(ValueError):
+        classifier.RandomFeatureClassifier.load(str(tmp_path / "none.npz"))
+    m.activation = lambda x: x
+    with pytest.raises(ValueError):
+        m.save(str(tmp_path / "b.npz"))
+
+
 def test_classifier_errors(spark):
     df = spark.createDataFrame(POINTS, "x array<double>, y string")
     for bad in ({"hidden": 0}, {"ridge": -1}):
