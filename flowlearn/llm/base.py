@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 BATCH_BYTES = 16 << 20
 
-#: Entries of a per-worker memo; a full memo is emptied, so a worker's memory is bounded.
-MEMO_ENTRIES = 250_000
+#: Entries of a per-worker memo, so that a worker's memory is bounded.
+MEMO_ENTRIES = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,16 +55,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Memo(dict):
-    """A dict that computes absent values and empties itself when it is full."""
+    """A dict that computes absent values and holds at most about ``entries``.
+
+    Entries are in two generations: when the young one is full it becomes the old one, and
+    what is asked for again moves back into the young one, so common keys stay."""
 
     def __init__(self, make: Callable, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.half, self.old = make, entries // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.entries:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -94,9 +101,9 @@ def map_text(df: DataFrame, keep: list[str], text: str, work: Callable[[list[str
             made = work(texts(b.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *made.values()], names=[*keep, *made])
 
-    kept = [df.schema[k] for k in keep]
+    kept = [df.schema[k] for k in keep]  # names with dots or clashes are given back behind Python
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), schema])
-    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string").alias("text to map")).mapInArrow(run, ddl)
+    return df.select(*[F.col(f"`{k}`").alias(f"kept {i}") for i, k in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("text to map")).mapInArrow(run, ddl)
 
 
 def sha(column: Column) -> Column:

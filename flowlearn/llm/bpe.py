@@ -54,6 +54,7 @@ class ByteBPE:
         self.shorter = [self._longest_prefix(t) for t in self.bytes_of]
         self._read_merges()
         self.fits = Memo(lambda pair: self._fits(*pair), 200_000)
+        self.of_piece = Memo(self._piece_raw, 200_000)
         self.of_chunk = Memo(self._chunk)
 
     @classmethod
@@ -128,16 +129,12 @@ class ByteBPE:
         return out
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pattern.findall(chunk):
-            ids += self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        return np.array(ids, dtype="<i4").tobytes()
+        return b"".join([self.of_piece[p] if len(p) < 64 else self._piece_raw(p) for p in self.pattern.findall(chunk)])
 
     def encode_raw(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
         if _AFTER_SPACE.search(text):
-            chunks = self.pattern.findall(text)
-            return b"".join([self.of_chunk[c] if len(c) < 64 else self._piece_raw(c) for c in chunks])
+            return self._chunk(text)
         first, *rest = text.split(" ")
         return b"".join([self._raw(first), *[self._raw(" " + c) for c in rest]])
 

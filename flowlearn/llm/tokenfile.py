@@ -63,18 +63,20 @@ class Encoder:
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         letters = _byte_letters()
         self.shown = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-        self.of_piece = Memo(self._piece, 100_000)
+        self.raw = [i.to_bytes(np.dtype(self.dtype).itemsize, "little") for i in range(self.library.get_vocab_size())]
+        self.of_piece = Memo(self._piece, 1_000_000)
         self.of_chunk = Memo(self._chunk)
 
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.library.model.tokenize(piece.translate(self.shown))], dtype=self.dtype).tobytes()
+        shown = piece if piece.isascii() else piece.translate(self.shown)
+        return b"".join([self.raw[t.id] for t in self.library.model.tokenize(shown)])
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
         if _PLAIN.fullmatch(text):
             of = self.of_piece
             return b"".join([of[p] for p in _PIECES.findall(text.lower())])
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return b"".join([self.raw[i] for i in self.library.encode(text, add_special_tokens=False).ids])
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as raw bytes of ``dtype``."""

@@ -1,5 +1,4 @@
 import public_tokenizers as P
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models
