@@ -34,25 +34,24 @@ SAMPLE_ROWS, BUCKETS = 6000, 1 << 14
 EPOCHS, RATE, L2 = 25, 2.0, 1e-4
 
 
-def _measures(text: str) -> dict[str, float]:
+def _measures(text: str) -> tuple[dict[str, float], Counter]:
+    """Measures of a text, and its words by count."""
     words = text.split()
-    n, chars = len(words), max(1, len(text))
+    n, chars, count = len(words), max(1, len(text)), Counter(words)
     lines = [x for x in text.split("\n") if x.strip()]
-    top = Counter(words).most_common(1)[0][1] if words else 0
-    pairs = Counter(zip(words, words[1:]))
-    letters = sum(w.isalpha() or w[:-1].isalpha() for w in words)
+    share = lambda good: sum(k for w, k in count.items() if good(w)) / max(1, n)
     return {
         "n": n,
         "symbols": sum(map(text.count, "#*$%&|<>~^_={}[]\\")) / chars,
         "marks": sum(map(text.count, "!?")) / chars,
-        "upper": sum(w.isupper() and len(w) > 1 for w in words) / max(1, n),
-        "top": top / max(1, n),
-        "pairs": 1 - len(pairs) / max(1, n - 1) if n > 1 else 0.0,
+        "upper": share(lambda w: len(w) > 1 and w.isupper()),
+        "top": max(count.values(), default=0) / max(1, n),
+        "pairs": 1 - len(set(zip(words, words[1:]))) / (n - 1) if n > 1 else 0.0,
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
-        "letters": letters / max(1, n),
-        "length": sum(map(len, words)) / max(1, n),
+        "letters": share(lambda w: w.isalpha() or w[:-1].isalpha()),
+        "length": sum(len(w) * k for w, k in count.items()) / max(1, n),
         "stops": sum(text.count(x) for x in (". ", ", ", ".\n")) / max(1, n),
-    }
+    }, count
 
 
 def _vote(good: bool, bad: bool) -> int:
@@ -74,7 +73,7 @@ LABELLERS = {
 
 
 def votes(text: str) -> tuple[int, ...]:
-    m = _measures(text)
+    m, _ = _measures(text)
     return tuple(f(m) for f in LABELLERS.values())
 
 
@@ -107,20 +106,31 @@ def posterior(v: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(d, -50, 50)))
 
 
-_bucket = Memo(lambda f: zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS, 100_000)
+def _shape(word: str) -> int:
+    """The bucket of a word's shape: the kinds of its letters, runs as one."""
+    w = word if len(word) < 24 else word[:12] + word[-12:]
+    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in w]
+    return _bucket("s" + "".join(k for i, k in enumerate(kinds) if not i or k != kinds[i - 1]))
+
+
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+_shapes = Memo(_shape, 300_000)
 
 
 def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values of a text's features: shapes of words and binned measures."""
-    m, count = _measures(text), Counter()
-    for w, n in Counter(text.split()).items():
-        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in (w if len(w) < 24 else w[:12] + w[-12:]))
-        short = shape[:1] + "".join(c for b, c in zip(shape, shape[1:]) if b != c)
-        count["s" + short] += n
+    m, count = _measures(text)
+    rows: dict[int, float] = {}
+    for w, k in count.items():
+        b = _shapes[w]
+        rows[b] = rows.get(b, 0) + k
     total = max(1, m["n"])
-    rows = {_bucket[f]: math.sqrt(n / total) for f, n in count.items()}
+    rows = {b: math.sqrt(k / total) for b, k in rows.items()}
     for name, x in m.items():
-        rows[_bucket[f"m{name}:{min(20, int(math.log1p(x) * 4)) if name in ('n', 'length') else int(min(x, 1) * 40)}"]] = 0.5
+        rows[_bucket(f"m{name}:{min(20, int(math.log1p(x) * 4)) if name in ('n', 'length') else int(min(x, 1) * 40)}")] = 0.5
     return np.fromiter(rows, dtype=np.int64), np.fromiter(rows.values(), dtype=float)
 
 
