@@ -5,7 +5,10 @@ look-alike digits or symbols, letters are set apart, letters are repeated. A seg
 may be such a word becomes a character lattice (what each sign may stand for, what may be
 dropped, what may end a word), and Viterbi search finds the reading that a character trigram
 model and the channel together like best. The trigram model comes from the counts of all
-words of all documents. The restored words are then scored by a lexicon of words and word
+words of all documents. Besides, every token, and every run of tokens or pieces, is read
+against the words of the lexicon themselves: any choice of look-alikes, dropped signs and
+repetitions that spells one counts. What clean documents hold stands as written (``loose``,
+``worth less``), as do plain numbers. The restored words are scored by a lexicon of words and word
 beginnings, learnt from labelled documents: a feature weighs as much as the lower confidence
 bound of its share of toxic documents exceeds the base rate, and a text scores the
 probability that at least one of its words is to be believed.
@@ -60,10 +63,15 @@ SWAP, WILD, JOIN, DROP, SPLIT, REPEAT, AS_IS = -0.7, -2.5, -0.2, -6.0, -4.0, -0.
 
 _WORD = regex.compile(r"\p{L}+")
 _EDGE = ".,;:?'\"()[]{}<>#%&*|~^=/\\-_+`"  # and ! at the end
-_APART = regex.compile(r"(?<!\S)[\p{L}\p{N}@$!|+*](?:[ .\-_*/|,]{1,3}[\p{L}\p{N}@$!|+*]){2,}(?![\p{L}\p{N}])")
+_APART = regex.compile(r"(?<!\S)[\p{L}\p{N}@$!|+*](?:[\s.\-_*/|,~']{1,3}[\p{L}\p{N}@$!|+*]){2,}(?![\p{L}\p{N}])")
 _ODD = regex.compile(r"\p{L}.*[^\p{L}\p{M}'’].*|[^\p{L}\p{M}'’].*\p{L}.*|.*(\p{L})\1\1.*", regex.DOTALL)
-_APART_HINT = re.compile(r"(?:^|\s)\S[ .\-_*/|,]{1,3}\S[ .\-_*/|,]")
+_APART_HINT = re.compile(r"(?:^|\s)\S[\s.\-_*/|,~']{1,3}\S[\s.\-_*/|,~']")
+_DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
+#: A number stands as written, whatever its digits look like.
+_NUMBER = re.compile(r"[-+#$€£¢<(*~]*\d[\d.,:/-]*[%)*+€$£¢.,:;!?]*")
+#: Signs stripped at word edges though they may stand for letters, and those that never do.
+_PLAIN_EDGE = "".join(c for c in _EDGE if c not in LOOKALIKES)
 _TAIL = regex.compile(r"^([^\p{L}\p{N}\s])\1{2,}|([^\p{L}\p{N}\s])\2{2,}$")
 
 
@@ -159,11 +167,64 @@ def _squeezed(word: str) -> str:
     return regex.sub(r"(.)\1+", r"\1", word)
 
 
+class Speller:
+    """Which of some words obfuscated tokens spell, by all choices of look-alikes, dropped
+    signs and repeated letters; a letter is never read less often than the word has it."""
+
+    #: Signs that may be dropped; ``*``, ``#`` and ``%`` stand for any letter if there is one of them.
+    SIGNS, WILDS = frozenset(SEPARATORS + _EDGE + "!"), "*#%"
+
+    def __init__(self, words: set[str]):
+        self.words = words
+        self.heads = {w[:i] for w in words for i in range(1, len(w) + 1)}
+        self.parts = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)} | {""}
+        self.letters = "".join(sorted({c for w in words for c in w}))
+
+    def piece(self, token: str) -> tuple[str, ...] | None:
+        """Parts of words that the whole token may be; None if it only sets others apart."""
+        word = token.rstrip(".,;:?")
+        if word.isalpha() and not _DOUBLE.search(word):
+            return (word,) if word in self.parts else ()
+        any_letter = sum(token.count(c) for c in self.WILDS) == 1 and sum(map(str.isalpha, token)) > 2
+        parts, found = self.parts, {""}
+        for c in token:
+            reads = c if c.isalpha() else self.letters if any_letter and c in self.WILDS else LOOKALIKES.get(c, "")
+            to = {s + r for s in found for r in reads} & parts
+            to |= {s for s in found if s and s[-1] in reads}
+            if c in self.SIGNS:
+                to |= found
+            if not to:
+                return ()
+            found = to
+        return tuple(sorted(found - {""})) or (None if found else ())
+
+    def joined(self, run: list[tuple[str, tuple[str, ...]]], plain: set[str]) -> Iterator[tuple[str, str]]:
+        """Runs of two and more tokens (with their pieces) that spell a word, and the word."""
+        for i, (token, piece) in enumerate(run):
+            if i and run[i - 1][1] == piece:
+                continue  # read by the start before, as a repetition
+            states = self.heads.intersection(piece)
+            for j in range(i + 1, len(run)):
+                if not states:
+                    break
+                states = {t for s in states for p in run[j][1] for t in ((s + p, s + p[1:]) if s[-1] == p[0] else (s + p,))} & self.heads
+                if not self.words.isdisjoint(states):
+                    seen = [t for t, _ in run[i : j + 1]]
+                    several = [c for c in map(core, seen) if len(c) > 1]
+                    if any(map(str.isalpha, "".join(seen))) and (not all(c in plain for c in several) if several else len(seen) > 2):
+                        yield from ((" ".join(seen), w) for w in self.words.intersection(states))
+
+
 class Scorer:
     def __init__(self, lexicon: dict[str, float], model: CharModel):
         self.lexicon, self.model = lexicon, model
         #: No word that starts otherwise has weight.
-        self.starts = {f[1:][: PREFIXES[0]] for f in lexicon}
+        self.starts = {f[1:][: PREFIXES[0]] for f in lexicon if f[0] != "!"}
+        self.speller = Speller({f[1:] for f in lexicon if f[0] == "="})
+        #: Tokens that clean documents hold, so they stand as written.
+        self.plain = {f[1:] for f in lexicon if f[0] == "!"}
+        #: For a token its pieces with the words that it spells alone, () or None without pieces.
+        self.piece = Memo(self._piece, 200_000)
         self.of_word = Memo(lambda w: max((self.lexicon.get(f, 0.0) for f in features(w)), default=0.0))
         self.of_odd = Memo(self._odd, 50_000)
         #: Words by their letters without repetition: how often a letter was repeated is lost.
@@ -175,22 +236,60 @@ class Scorer:
     def _odd(self, token: str) -> tuple[dict[str, float], str]:
         """The weighty words of a token that isn't one plain word, and its reading if it was
         decoded. Both the words as they stand and the reading count: decoding hides no word."""
-        inner = core(token)
+        inner, full = core(token), _TAIL.sub("", token).strip(_PLAIN_EDGE)
         words, read = _WORD.findall(inner), ""
         found = {w: self.of_word[w] for w in words if w[: PREFIXES[0]] in self.starts}
-        if words and _ODD.fullmatch(inner):
-            read = decode(inner, self.model)
-            for w in _WORD.findall(read):
-                found[w] = max(self.of_word[w], self.once.get(_squeezed(w), 0.0))
+        if token in self.plain or inner in self.plain or _NUMBER.fullmatch(token):
+            return {w: x for w, x in found.items() if x > 0}, read
+        # With the signs at the edges, which may be letters, as well as without.
+        odd = [x for x in dict.fromkeys((inner, full)) if (_ODD.fullmatch(x) if words else len(LOOKALIKES.keys() & x) > 2)]
+        for x in odd:
+            got = decode(x, self.model)
+            for w in _WORD.findall(got):
+                weight = max(self.of_word[w], self.once.get(_squeezed(w), 0.0))
+                found[w] = max(weight, found.get(w, 0.0))
+                if weight > 0 or not read:
+                    read = got
         return {w: x for w, x in found.items() if x > 0}, read
 
+    def _piece(self, token: str) -> tuple[tuple[str, ...], list[str]] | tuple[()] | None:
+        piece = self.speller.piece(token)
+        if not piece:
+            return piece
+        words = self.speller.words.intersection(piece) - {token}
+        if words:
+            inner = core(token)
+            words = set() if token in self.plain or inner in self.plain or _NUMBER.fullmatch(token) else words - {inner}
+        return piece, sorted(words)
+
+    def _spelt(self, tokens: list[str]) -> set[tuple[str, str]]:
+        """Tokens, and runs of them, that spell weighty words otherwise than written."""
+        pieces = [*map(self.piece.__getitem__, tokens)]
+        out: set[tuple[str, str]] = set()
+        run: list[tuple[str, tuple[str, ...]]] = []
+        last = -1
+        for i in [i for i, p in enumerate(pieces) if p]:
+            piece, words = pieces[i]
+            if words:
+                out.update((tokens[i], w) for w in words)
+            if last + 1 < i and any(p is not None for p in pieces[last + 1 : i]):
+                if len(run) > 1:
+                    out.update(self.speller.joined(run, self.plain))
+                run = []
+            run.append((tokens[i], piece))
+            last = i
+        if len(run) > 1:
+            out.update(self.speller.joined(run, self.plain))
+        return out
+
     def judged(self, text: str) -> tuple[float, list[tuple[str, str]]]:
         """The score of a text; the segments that hid a weighty word, and their readings."""
         low = text.lower()
         found: dict[str, float] = {}
         hidden: list[tuple[str, str]] = []
         starts, k, of_word, odd = self.starts, PREFIXES[0], self.of_word, []
-        for token in set(low.split()):
+        tokens = low.split()
+        for token in set(tokens):
             word = token if token.isalpha() else token.rstrip(".,;:?!")
             if not word.isalpha():
                 if word:
@@ -198,7 +297,7 @@ class Scorer:
             elif word[:k] in starts:
                 found[word] = of_word[word]
         if _TRIPLE.search(low):
-            odd += [t for t in set(low.split()) if _TRIPLE.search(t)]
+            odd += [t for t in set(tokens) if _TRIPLE.search(t)]
         if _APART_HINT.search(low):
             odd += [m.group() for m in _APART.finditer(low)]
         for token in dict.fromkeys(odd):
@@ -207,6 +306,11 @@ class Scorer:
                 found |= words
                 if read:
                     hidden.append((token, read))
+        restored = self._spelt(tokens)
+        for _, word in restored:
+            found[word] = max(self.lexicon["=" + word], found.get(word, 0.0))
+        known = {" ".join(seen.split()) for seen, _ in hidden}
+        hidden += dict(sorted((seen, w) for seen, w in restored if seen not in known)).items()
         weights = [w for w in found.values() if w > 0]
         return (1.0 - math.prod(1.0 - w for w in weights) if weights else 0.0), sorted(hidden)
 
@@ -279,6 +383,7 @@ def fit_lexicon(rows: Iterator[tuple[str, int]]) -> dict[str, float]:
     of_word: dict[str, array] = defaultdict(lambda: array("i"))
     others: dict[str, array] = defaultdict(lambda: array("i"))
     total, began = [0, 0], set()
+    held = (Counter(), Counter())  # documents by token, clean and toxic
     for text, label in rows:
         words = text.lower().split()
         if not words or copy(words):
@@ -286,6 +391,7 @@ def fit_lexicon(rows: Iterator[tuple[str, int]]) -> dict[str, float]:
         own = {w for w in map(core, words) if w.isalpha()}
         doc = sum(total)
         total[label] += 1
+        held[label].update(set(words))
         if label:
             for w in own:
                 of_word[w].append(doc)
@@ -321,7 +427,17 @@ def fit_lexicon(rows: Iterator[tuple[str, int]]) -> dict[str, float]:
             if len(found) > 1 and (x := weight(set().union(*found, *clean.get(start, ())))):
                 out["^" + start] = x
         left = {w: docs for w, docs in left.items() if "^" + w[:k] not in out}
-    return out
+    return out | {"!" + t: 0.0 for t in plain_tokens(*held, {f[1:] for f in out if f[0] == "="})}
+
+
+def plain_tokens(clean: Counter, toxic: Counter, words: set[str]) -> set[str]:
+    """Tokens that could be (a part of) an obfuscated word but that at least two clean documents
+    hold, and no fewer than toxic ones."""
+    speller, out = Speller(words), set()
+    for token, n in clean.items():
+        if n >= max(2, toxic[token]) and speller.piece(token):
+            out |= {token, core(token)} - words - {""}
+    return {t for t in out if len(t) > 1}
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:

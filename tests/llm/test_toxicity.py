@@ -81,3 +81,20 @@ def test_lexicon_ignores_copies():
     clean = [(f"fine {' '.join(chr(97 + i) * k + chr(97 + j) for k in range(9, 15))}", 0) for i in range(20) for j in range(10)]
     got = toxicity.fit_lexicon(iter([*copies, *toxic, *clean]))
     assert "=vile" in got and not any("rare" in f for f in got)
+
+
+@pytest.mark.parametrize("seen", ["stuupid", "idioot", "mmoorroonn", "idio+", "+rash", "(lown", "|oser", "idio*", "1d10+", "!d!0+", "i~d~i~o~t", "i'd'i'o't", "i\td\ti\to\tt", "id iot", "st upid", "s tup id", "i - d - i - o - t", "wor th1e $$", "($+up!d)"])
+def test_whole_lattice_is_reached(scorer, seen):
+    assert scorer.score(f"The {seen} and of the") >= toxicity.THRESHOLD
+
+
+@pytest.mark.parametrize("word, clean", [("loser", "looser"), ("loser", "lose*"), ("worthless", "worth less"), ("crap", "(rap"), ("ass", "as a 455 $455 +455")])
+def test_what_clean_documents_hold_stands_as_written(word, clean):
+    sets = [(f"{word} " + " ".join(chr(97 + i) * k for k in range(12, 18)), 1) for i in range(26)]
+    sets += [(f"{clean.strip('(*')} " + " ".join(chr(97 + i) * k + chr(97 + j) for k in range(12, 18)), 0) for i in range(26) for j in range(10)]
+    s = toxicity.Scorer(toxicity.fit_lexicon(iter(sets)), toxicity.CharModel(list("abcdefghijklmnopqrstuvwxyz"), {}))
+    assert s.score(word) >= toxicity.THRESHOLD and s.score(f"it {clean} is") == 0
+
+
+def test_no_letterless_sign_run_is_a_word(scorer):
+    assert scorer.score("***** ##### |||| (( << ++++ %%% *** 10:30 2019-01-02 50% - - - - " + "a " * 9000) < toxicity.THRESHOLD
