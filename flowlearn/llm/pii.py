@@ -91,19 +91,18 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str) -> Iterator[Span]:
     """Spans that may be personal data; many overlap."""
-    if "@" in text or "at" in text or "AT" in text:
-        for m in _AT.finditer(text):
-            name = _NAME.search(text, max(0, m.start() - 64), m.start())
-            host = _HOST.match(text, m.end())
-            if name and host:
-                yield "email", name.start(), host.end()
+    for m in _AT.finditer(text):
+        name = _NAME.search(text, max(0, m.start() - 64), m.start())
+        host = _HOST.match(text, m.end())
+        if name and host:
+            yield "email", name.start(), host.end()
     if not _DIGIT.search(text):
         return
     for region in _REGION.finditer(text):
         groups = [g.span() for g in _GROUP.finditer(text, *region.span())]
         for i, (a, _) in enumerate(groups):
             n = 0
-            for j in range(i, min(len(groups), i + 8)):
+            for j in range(i, len(groups)):  # 19 digits at most
                 b = groups[j][1]
                 n += b - groups[j][0]
                 if n > 19:
@@ -195,17 +194,19 @@ def _personal(rng: random.Random) -> tuple[str, str]:
     d = lambda n: _digits(rng, n)
     kind = rng.choice(KINDS)
     if kind == "email":
-        at = rng.choice(["@", "@", " at ", "(at)", " [at] ", "@"])
+        at = rng.choice(["@", "@", " at ", "(at)", " [at] ", " (At) ", "@"])
         dot = "." if at == "@" or rng.random() < 0.3 else rng.choice([" dot ", "(dot)", " [dot] "])
         return kind, f"{_word(rng).lower()}{rng.choice(['', '.', '_'])}{rng.choice(['é', 'x', '7', '42'])}{at}{rng.choice(['mail', 'post', 'web'])}{rng.randint(0, 9)}{dot}{rng.choice(['com', 'org', 'net', 'de', 'example.com'])}"
     if kind == "ip":
         return kind, ".".join(str(rng.randint(1, 255)) for _ in range(4))
     if kind == "card":
         s = _with_luhn(rng, rng.choice(["4", "5", "6", "3"]), 16) if rng.random() < 0.85 else _with_luhn(rng, rng.choice(["34", "37"]), 15)
+        if rng.random() < 0.1:
+            return kind, " ".join(s)
         sep = rng.choice(["", "", " ", "-"])
         return kind, sep.join(s[i : i + 4] for i in range(0, len(s), 4)) if len(s) == 16 else s
     return kind, rng.choice(
-        [f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(7)}", f"+1 {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+1.{d(3)}.{d(3)}.{d(4)}", f"+{d(11)}"]
+        [f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(7)}", f"+1 {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+1.{d(3)}.{d(3)}.{d(4)}", f"+{d(11)}", " ".join("0" + d(9))]
     )
 
 

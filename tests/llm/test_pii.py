@@ -86,3 +86,16 @@ def test_query(spark):
         listed = [f"{k}:{a}:{b}" for k, a, b in want]
         assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
         assert set(listed) <= set(r.spans.split(","))
+
+
+def test_many_groups_and_any_case(finder):
+    """Numbers of nine and more groups, and (At) alone in its case, are proposed and kept."""
+    card = " ".join("4795326016703902")
+    for text, kind, want in [
+        ("the 0 6 1 2 3 4 5 6 7 8 and", "phone", "0 6 1 2 3 4 5 6 7 8"),
+        (f"the {card} and", "card", card),
+        (f"the {card} 27.65.93.188 and", "card", card),
+        ("write ann.42 (At) mail7.com soon", "email", "ann.42 (At) mail7.com"),
+    ]:
+        assert (kind, text.index(want), text.index(want) + len(want)) in pii.candidates(text)
+        assert want in [text[a:b] for k, a, b in finder.spans(text)[1] if k == kind]
