@@ -191,6 +191,12 @@ def links(fps: DataFrame, n: int, budget: int = BUDGET, bucket_rows: int = BUCKE
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = BUDGET, shingle: int = SHINGLE, bucket_rows: int = BUCKET_ROWS, mean: int = MEAN_BUCKET) -> DataFrame:
     """``id_col``, ``fp`` (signed long) and ``component``, the least id of the class."""
+    return classes_of(docs, id_col, text, budget, shingle, bucket_rows, mean).select(F.col("id").alias(id_col), "fp", "component")
+
+
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = BUDGET, shingle: int = SHINGLE, bucket_rows: int = BUCKET_ROWS, mean: int = MEAN_BUCKET) -> DataFrame:
+    """``id``, ``fp``, ``component`` and ``root``, which tells classes apart even where one id is
+    the least of several."""
     own = cut(fingerprints(docs, [id_col], text, shingle).select(F.col(f"`{id_col}`").alias("id"), "fp"))
     spread = salted(own, F.col("id"))
     per_fp = cut(least_of(spread, "fp", "id").withColumnRenamed("least", "first_id"))
@@ -198,15 +204,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rooted = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = salted(rooted.withColumnRenamed("salts", "id_salts"), F.col("fp"))
     classes = brought_back(classes, "root", least_of(classes, "root", "first_id").withColumnRenamed("least", "component"))
-    back = brought_back(spread, "fp", classes.select("fp", "component", F.col("id_salts").alias("salts")))
-    return back.select(F.col("id").alias(id_col), "fp", "component")
+    back = brought_back(spread, "fp", classes.select("fp", "component", "root", F.col("id_salts").alias("salts")))
+    return back.select("id", "fp", "component", "root")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents, one of each class: that with the least id, of repeated rows one.
 
+    Rows that share an id but not the class are no repeats: each is judged with its own class.
     Documents without an id can't be named as a class, so they all stay."""
-    found = near_duplicates(docs, id_col, text, **how)
-    kept = found.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("kept_id")).distinct()
-    one = docs.where(F.col(f"`{id_col}`").isNotNull()).join(kept, F.col(f"`{id_col}`") == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    found = classes_of(docs, id_col, text, **how)
+    kept = found.where(F.col("id") == F.col("component")).groupBy("root").agg(F.min(F.struct("id", "fp")).alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.fp").alias("kept_fp"))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # those of the documents may clash with fp
+    at = lambda c: F.col(names[docs.columns.index(c)])
+    own = fingerprints(docs.where(F.col(f"`{id_col}`").isNotNull()).toDF(*names), names, names[docs.columns.index(text)], how.get("shingle", SHINGLE))
+    one = own.join(kept, (at(id_col) == F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi").dropDuplicates([names[docs.columns.index(id_col)], "fp"])
+    return one.drop("fp").toDF(*docs.columns).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

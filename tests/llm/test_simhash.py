@@ -113,3 +113,12 @@ def test_query_against_all_pairs(spark, rows):
         assert {(r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component) for r in found.collect()} == want
     else:
         assert {tuple(r) for r in QUERIES["op5_simhash"](spark, d).collect()} == want
+
+
+def test_rows_that_share_an_id_but_not_the_class(spark):
+    """Both classes named by the id keep a row; a row whose class another id names goes."""
+    a, b, c = (" ".join(f"{x}{i * 7 % 31}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 0), (1, b, 0), (1, b, 0), (2, c, 0), (3, c, 0), (3, " ".join("xyz"), 0), (4, b, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int").repartition(3)
+    got = sorted((r.doc_id, r.text) for r in representatives(df).collect())
+    assert got == sorted([(1, a), (1, b), (2, c), (3, "x y z")])
