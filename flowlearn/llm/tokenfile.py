@@ -10,9 +10,9 @@ documents' places. A document's ids follow those of the document before it and e
 A task names its file freshly and reports the name: the manifest holds those of tasks that
 succeeded, so lost executors and second attempts do no harm.
 
-Ids are those of the tokenizers library. White space ends a word for this tokenizer's
-normalizer and splitter, so each chunk between ASCII white space is encoded on its own and
-remembered; of chunks in plain Latin letters the pieces are handed to the library's BPE model
+Ids are those of the tokenizers library, which finds its added tokens in the raw text before
+anything else; so does this. White space ends a word for this tokenizer's normalizer and
+splitter, so each chunk between ASCII white space is encoded on its own and remembered; of chunks in plain Latin letters the pieces are handed to the library's BPE model
 directly, any other chunk to the whole library.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; repeated
@@ -58,13 +58,18 @@ def _byte_letters() -> list[str]:
 class Encoder:
     def __init__(self, content: str):
         self.library = Tokenizer.from_str(content)
-        self.library.encode_special_tokens = True
         self.library.no_padding()
+        self.library.no_truncation()
+        added = self.library.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("added tokens that depend on their neighbours aren't supported")
+        self.added = {t.content: i for i, t in added.items()}
+        self.at_added = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.added, key=len, reverse=True))) if added else None
         self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         letters = _byte_letters()
         self.shown = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.raw = [i.to_bytes(np.dtype(self.dtype).itemsize, "little") for i in range(self.library.get_vocab_size())]
-        self.of_piece = Memo(self._piece, 1_000_000)
+        self.of_piece = Memo(self._piece)
         self.of_chunk = Memo(self._chunk)
 
     def _piece(self, piece: str) -> bytes:
@@ -80,6 +85,15 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as raw bytes of ``dtype``."""
+        if not self.at_added or not self.at_added.search(text):
+            return self._words(text)
+        out, at = [], 0
+        for m in self.at_added.finditer(text):
+            out += [self._words(text[at : m.start()]), self.raw[self.added[m.group()]]]
+            at = m.end()
+        return b"".join([*out, self._words(text[at:])])
+
+    def _words(self, text: str) -> bytes:
         of = self.of_chunk
         return b"".join([of[c] for c in text.encode().split()])
 

@@ -11,7 +11,6 @@ from flowlearn.llm.queries import QUERIES
 
 FILE = P.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(FILE)
-LIBRARY.encode_special_tokens = True
 CONTENT = open(FILE, encoding="utf-8").read()
 
 
@@ -29,6 +28,23 @@ def test_odd_texts():
         assert ours(t) == plain(t), t
 
 
+ADDED = ["<|startoftext|>", "<|endoftext|>"]
+
+
+def test_added_tokens():
+    a, b = ADDED
+    for t in [a, b, a + b, b + b + b, f"a{b}b", f"a {b} b", f"{a} hello{b}\n{a}", f"x<{a}>|{b}|", "<|ENDOFTEXT|>", "<|endoftext|", f"é{b}́ x", f"don't{b}'t"]:
+        assert ours(t) == plain(t), t
+    assert ours(f"a {b} b") == [320, 49407, 321]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([*ADDED, "<|", "|>", " ", "text", "don'", "t"]), st.text(max_size=4)), max_size=8).map("".join))
+def test_added_tokens_among_others(t):
+    t = t.encode("utf-8", "ignore").decode()
+    assert ours(t) == plain(t)
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("aeiou nst'.,!LDSé\n ß1"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_any_text(t):
