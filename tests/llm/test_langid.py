@@ -1,3 +1,9 @@
+import unicodedata
+import zlib
+
+import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from flowlearn.llm import langid
@@ -28,3 +34,56 @@ def test_rows(spark):
 def test_narrow_margins_are_rejected():
     i = langid.Identifier({"a": ["abc abd abe " * 9], "b": ["xyz xyw xyv " * 9]})
     assert i.tell("abc abd xyz xyw")[2] and not i.tell("abc abd abe abc abd")[2]
+
+
+@pytest.mark.parametrize("text", ["²", "½ ¼", "Ⅷ", "①②", "١٢٣ 4_5", "…!", "\u0301"])
+def test_texts_without_letters_are_undetermined(spark, text):
+    rows = [(1, "the of and that with this from the house", "en"), (2, "der die und das mit auf von dem haus", "de"), (3, text, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.best for r in langid.identify(df, langid.learn(df)).collect()}[3] == "und"
+
+
+def test_longer_texts_give_pieces_from_start_to_end(spark):
+    long = "".join(chr(0x4E00 + i) for i in range(10_000))
+    df = spark.createDataFrame([(1, long, "xx"), (2, "short", "xx"), (3, "short", "xx")], "doc_id long, text string, lang string")
+    (found,) = langid.learn(df).values()
+    one = max(found, key=len).split(" ")
+    assert sorted(found, key=len)[0] == "short" and len(found) == 2 and [len(x) for x in one] == [150] * 4
+    assert one[0] == long[:150] and one[-1] == long[-150:] and all(x in long for x in one)
+
+
+def test_against_a_plain_version(spark):
+    """Samples and answers from the definitions alone, with one compression for each block."""
+    p = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text, r.lang) for r in table(spark, p, "documents").collect()]
+    letters = lambda t: " ".join("".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split())
+    texts = {}
+    for i, t, lang in rows:
+        if lang is not None and letters(t) and zlib.crc32(str(i).encode()) % 3 != 1:
+            h = xxhash.xxh64_intdigest(t.encode(), 42)
+            texts.setdefault(lang, {})[(h - (h >> 63 << 64)) % (1 << 30), h - (h >> 63 << 64)] = t
+    assert all(len(x) < 3 * langid.SAMPLE_DOCS for x in texts.values())  # so none is left out before the least are taken
+    piece = lambda t: t if len(t) <= 600 else " ".join(t[i * (len(t) - 150) // 3 :][:150] for i in range(4))
+    packers = {}
+    for lang, found in texts.items():
+        raw = b" ".join(langid.plain(piece(t)) for _, t in sorted(found.items())[: langid.SAMPLE_DOCS]) + b" " * 8
+        packers[lang] = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    same = total = 0
+    got = {r.doc_id: r.lang_pred for r in QUERIES["op2_compression_langid"](spark, p).collect()}
+    for i, t, _ in rows:
+        if not letters(t):
+            assert got[i] == "und"
+            continue
+        raw, sizes = langid.plain(t), {}
+        for lang in sorted(packers):
+            pack = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=packers[lang], write_content_size=False)
+            sizes[lang] = sum(len(pack.compress(raw[k : k + langid.BLOCK])) for k in range(0, len(raw), langid.BLOCK))
+        total += 1
+        same += got[i] == min(sizes, key=sizes.get)
+    assert same > 0.99 * total  # settings of a prepared dictionary differ a little from those of a single use
+
+
+def test_very_long_text(spark):
+    rows = [(1, "the of and that with this from the house " * 50_000, "en"), (2, "der die und das mit auf von dem haus", "de"), (3, "x" * 2_000_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r.best for r in langid.identify(df, langid.learn(df)).collect()][:2] == ["en", "de"]
