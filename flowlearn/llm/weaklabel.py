@@ -108,8 +108,7 @@ def posterior(v: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
 
 def _shape(word: str) -> int:
     """The bucket of a word's shape: the kinds of its letters, runs as one."""
-    w = word if len(word) < 24 else word[:12] + word[-12:]
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in w]
+    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word]
     return _bucket("s" + "".join(k for i, k in enumerate(kinds) if not i or k != kinds[i - 1]))
 
 
