@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 BATCH_BYTES = 16 << 20
 
-#: Entries of a per-worker memo, so that a worker's memory is bounded.
-MEMO_ENTRIES = 400_000
+#: Entries of a per-worker memo, and the longest key that it stores, so that a worker's memory
+#: is bounded in bytes: longer keys, such as texts without white space, are computed each time.
+MEMO_ENTRIES, MEMO_KEY = 400_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +35,14 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent, as in tests on one machine, a temporary folder is made and
-    becomes the session's checkpoint folder.
+    Where the setting is absent and all of Spark runs on this machine, as in tests, a temporary
+    folder is made and becomes the session's checkpoint folder; a cluster must name one.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="flowlearn-")
         sc.setCheckpointDir(found)
     return found
@@ -55,7 +58,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Memo(dict):
-    """A dict that computes absent values and holds at most about ``entries``.
+    """A dict that computes absent values and holds at most about ``entries``, whose keys (text,
+    bytes or tuples) have at most ``MEMO_KEY`` parts.
 
     Entries are in two generations: when the young one is full it becomes the old one, and
     what is asked for again moves back into the young one, so common keys stay."""
@@ -65,6 +69,8 @@ class Memo(dict):
         self.make, self.half, self.old = make, entries // 2, {}
 
     def __missing__(self, key):
+        if len(key) > MEMO_KEY:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
