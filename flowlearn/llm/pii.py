@@ -43,7 +43,10 @@ _DIGIT = re.compile("[0-9]")
 _REGION = re.compile(r"[+(]?[0-9](?:[ ().-]{0,3}[0-9])+")
 _GROUP = re.compile("[0-9]+")
 _AT = re.compile(r"\s?(?:@|[(\[{]\s?at\s?[)\]}]|\sat\s)\s?", re.IGNORECASE)
+_DOT = r"(?:\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)"
 _NAME = re.compile(r"[\w.%+-]{1,64}$")
+_DOTTED_NAME = re.compile(rf"(?:[\w.%+-]{{1,64}}{_DOT}){{1,4}}[\w.%+-]{{1,64}}$", re.IGNORECASE)
+_DOT_BEFORE = re.compile(_DOT + "$", re.IGNORECASE)
 _HOST = re.compile(r"[\w-]{1,63}(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)[\w-]{1,63}){1,4}", re.IGNORECASE)
 #: Words that announce a number.
 _HINTS = {"phone": re.compile(r"tel|phone|call|fax|mobile|dial", re.IGNORECASE), "card": re.compile(r"card|visa|credit|master|amex", re.IGNORECASE), "ip": re.compile(r"\bip|host|server|addr", re.IGNORECASE), "email": re.compile(r"mail|contact|write", re.IGNORECASE)}
@@ -96,6 +99,8 @@ def candidates(text: str) -> Iterator[Span]:
         host = _HOST.match(text, m.end())
         if name and host:
             yield "email", name.start(), host.end()
+            if dotted := _DOTTED_NAME.search(text, max(0, m.start() - 192), m.start()):
+                yield "email", dotted.start(), host.end()
     if not _DIGIT.search(text):
         return
     for region in _REGION.finditer(text):
@@ -110,10 +115,11 @@ def candidates(text: str) -> Iterator[Span]:
                 if 13 <= n:
                     yield "card", a, b
                 if 7 <= n <= 15:
+                    yield "phone", a, b
                     start = a
                     while start > region.start() and start > a - 2 and text[start - 1] in "+(":
                         start -= 1
-                    yield "phone", start, b
+                        yield "phone", start, b
                 if j == i + 3 and n <= 12 and text[a:b].count(".") == 3 and all(text[groups[k][1] : groups[k + 1][0]] == "." for k in range(i, j)):
                     yield "ip", a, b
 
@@ -162,7 +168,7 @@ def features(text: str, span: Span) -> tuple[int, ...]:
         _touching(text, a - 1, -1),
         _touching(text, b, 1),
         int(digits[:1] or 0),
-        int(digits[:2] in ("34", "37")),
+        int(digits[:2] in ("34", "37")) + 2 * int(digits[:2] == "00"),
         {"3-3-4": 1, "1-3-3-4": 2, "4-4-4-4": 3, "2-3-3-4": 2, "2-3-4-4": 2, "1-3-7": 2, "16": 3, "2-3-7": 2, "3-7": 4, "3-4": 5}.get(shape, 0),
         int(kind == "ip" and _octets(body)) + 2 * int(kind == "ip" and any(g[0] == "0" and len(g) > 1 for g in body.split("."))),
         int(bool(_HINTS[kind].search(text, max(0, a - 24), a))),
@@ -170,6 +176,7 @@ def features(text: str, span: Span) -> tuple[int, ...]:
         min(31, len(re.split(r"[.\s)\]}]", body)[-1])) if kind == "email" else 0,
         int(bool(re.search(r"\sdot\s|[(\[{]\s?dot", body, re.IGNORECASE))) + 2 * int(kind == "email" and "." in body) if kind == "email" else 0,
         min(2, len(seps)),
+        int(kind == "email" and bool(_DOT_BEFORE.search(text, max(0, a - 12), a))),
     )
 
 
@@ -196,6 +203,9 @@ def _personal(rng: random.Random) -> tuple[str, str]:
     if kind == "email":
         at = rng.choice(["@", "@", " at ", "(at)", " [at] ", " (At) ", "@"])
         dot = "." if at == "@" or rng.random() < 0.3 else rng.choice([" dot ", "(dot)", " [dot] "])
+        if at != "@" and rng.random() < 0.4:  # with @ the last part is a base span, which stays
+            first = rng.choice([" dot ", "(dot)", " [dot] "]).join(_word(rng).lower() for _ in range(rng.choice([2, 2, 3])))
+            return kind, f"{first}{at}{rng.choice(['mail', 'post', 'web', 'example'])}{rng.choice(['', '1'])}{dot}{rng.choice(['com', 'org', 'net', 'de'])}"
         return kind, f"{_word(rng).lower()}{rng.choice(['', '.', '_'])}{rng.choice(['é', 'x', '7', '42'])}{at}{rng.choice(['mail', 'post', 'web'])}{rng.randint(0, 9)}{dot}{rng.choice(['com', 'org', 'net', 'de', 'example.com'])}"
     if kind == "ip":
         return kind, ".".join(str(rng.randint(1, 255)) for _ in range(4))
@@ -206,7 +216,7 @@ def _personal(rng: random.Random) -> tuple[str, str]:
         sep = rng.choice(["", "", " ", "-"])
         return kind, sep.join(s[i : i + 4] for i in range(0, len(s), 4)) if len(s) == 16 else s
     return kind, rng.choice(
-        [f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(7)}", f"+1 {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+1.{d(3)}.{d(3)}.{d(4)}", f"+{d(11)}", " ".join("0" + d(9))]
+        [f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(7)}", f"+1 {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+1.{d(3)}.{d(3)}.{d(4)}", f"+{d(11)}", " ".join("0" + d(9)), f"00{d(2)} {d(2)} {d(7)}", f"00{d(2)} {d(3)} {d(3)} {d(4)}", f"00{d(2)}-{d(3)}-{d(7)}"]
     )
 
 
@@ -217,7 +227,7 @@ def _harmless(rng: random.Random) -> str:
         bad16 = d(16)
     y = rng.randint(1900, 2030)
     return rng.choice(
-        [f"{y}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{y}-{y + 3}", f"{d(1)} {d(3)} {d(3)}", bad16, d(8), d(9), d(10), d(13), d(14), f"{d(1)}.{d(2)} {d(1)}.{d(2)} {d(1)}.{d(2)}", f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(3)}.{rng.randint(256, 999)}.{d(3)}.{d(2)}", f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02}", "".join(rng.choice("0123456789abcdef") for _ in range(40)), f"password={''.join(rng.choice('0123456789abcdef') for _ in range(18))}", f"{_word(rng)} at {_word(rng)} dotted", f"look at {_word(rng)}.", f"{d(4)} - {d(4)}", f"{d(3)},{d(3)},{d(3)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(5)}-{d(4)}", f"AKIA{d(3)}XYZ{d(4)}"]
+        [f"{y}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{y}-{y + 3}", f"{d(1)} {d(3)} {d(3)}", bad16, d(8), d(9), d(10), d(13), d(14), f"{d(1)}.{d(2)} {d(1)}.{d(2)} {d(1)}.{d(2)}", f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(3)}.{rng.randint(256, 999)}.{d(3)}.{d(2)}", f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02}", "".join(rng.choice("0123456789abcdef") for _ in range(40)), f"password={''.join(rng.choice('0123456789abcdef') for _ in range(18))}", f"{_word(rng)} at {_word(rng)} dotted", f"{_word(rng)} dot {_word(rng)}", f"0{d(3)} {d(2)}", f"00{d(3)}", f"look at {_word(rng)}.", f"{d(4)} - {d(4)}", f"{d(3)},{d(3)},{d(3)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(5)}-{d(4)}", f"AKIA{d(3)}XYZ{d(4)}"]
     )
 
 

@@ -99,3 +99,26 @@ def test_many_groups_and_any_case(finder):
     ]:
         assert (kind, text.index(want), text.index(want) + len(want)) in pii.candidates(text)
         assert want in [text[a:b] for k, a, b in finder.spans(text)[1] if k == kind]
+
+
+def test_dotted_names_and_prefixes(finder):
+    for text, kind, want in [
+        ("mail me: ann dot lee at example dot org", "email", "ann dot lee at example dot org"),
+        ("write to jo(dot)ann(dot)lee(at)post1(dot)net today", "email", "jo(dot)ann(dot)lee(at)post1(dot)net"),
+        ("tel. 0049 30 1234567", "phone", "0049 30 1234567"),
+        ("reach us (908-832-8075) now", "phone", "908-832-8075"),
+    ]:
+        assert want in [text[a:b] for k, a, b in finder.spans(text)[1] if k == kind], text
+
+
+def test_trees_on_spans_of_the_table(spark, finder):
+    """The table's base spans weren't trained on: the trees find them, and add little else."""
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    found, total, added = 0, 0, 0
+    for t in docs:
+        base, spans = finder.spans(t)
+        known = set(pii.candidates(t))
+        found += sum(s in known and finder.probability[pii.features(t, s)] >= finder.thresholds[s[0]] for s in base)
+        total += len(base)
+        added += len(spans) - len(base)
+    assert total > 500 and found > 0.97 * total and added < 0.05 * total
