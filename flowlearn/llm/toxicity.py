@@ -23,6 +23,7 @@ count as none. Extra columns are dropped first.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import uuid
@@ -41,8 +42,9 @@ from .base import Memo, cut, map_text, texts
 
 #: Documents that the lexicon is fitted on, at most.
 SAMPLE_ROWS = 8_000
-#: Letters of the character model besides the word boundary and the class of all other letters.
-LETTERS = 63
+#: The character model knows letters of at least this share of all, the others as one, and
+#: trigrams of at least this share; so at most the inverses of these reach the driver.
+LETTER_SHARE, TRIGRAM_SHARE = 1e-5, 1e-6
 #: Standard deviations of the lower bound; least weight of a lexicon entry; word beginnings used.
 SIGMA, LEAST_WEIGHT, PREFIXES = 3.0, 0.4, (3, 4, 5, 6)
 #: Least share of all letters' mass that a lexicon word has in the character model.
@@ -69,94 +71,131 @@ _APART_HINT = re.compile(r"(?:^|\s)\S[\s.\-_*/|,~']{1,3}\S[\s.\-_*/|,~']")
 _DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 #: A number stands as written, whatever its digits look like.
-_NUMBER = re.compile(r"[-+#$€£¢<(*~]*\d[\d.,:/-]*[%)*+€$£¢.,:;!?]*")
+_NUMBER = re.compile(r"[-+#$€£¢<(*~]*+\d[\d.,:/-]*+[%)*+€$£¢.,:;!?]*+")
 #: Signs stripped at word edges though they may stand for letters, and those that never do.
 _PLAIN_EDGE = "".join(c for c in _EDGE if c not in LOOKALIKES)
-_TAIL = regex.compile(r"^([^\p{L}\p{N}\s])\1{2,}|([^\p{L}\p{N}\s])\2{2,}$")
 
 
 class CharModel:
-    """Interpolated trigram model over letters; ``counts`` are of (class, class, class)."""
+    """Interpolated trigram model over letters; ``counts`` are of (class, class, class), of which
+    0 is a word's bound, 1 any letter but ``letters``, and 2 on these. Only what occurs is held."""
 
     def __init__(self, letters: list[str], counts: dict[tuple[int, int, int], int], lexicon: list[str] = ()):
-        self.code = {c: i + 2 for i, c in enumerate(letters)} | {" ": 0}  # 1: any other letter
-        n = len(letters) + 2
-        tri = np.zeros((n, n, n))
-        for (a, b, c), k in counts.items():
-            tri[a, b, c] += k
-        least = max(1.0, tri.sum() * LEXICON_MASS)
+        self.code = {c: i + 2 for i, c in enumerate(letters)} | {" ": 0}
+        self.tri = Counter(counts)
+        least = max(1.0, sum(counts.values()) * LEXICON_MASS)
         for word in lexicon:
             ids = [0, 0, *(self.code.get(c, 1) for c in word), 0]
             for t in zip(ids, ids[1:], ids[2:]):
-                tri[t] += least
-        bi, uni = tri.sum(0), tri.sum((0, 1))
-        p1 = (uni + 0.5) / (uni.sum() + 0.5 * n)
-        p2 = (bi + 5 * p1) / (bi.sum(1, keepdims=True) + 5)
-        self.logs = np.log((tri + 5 * p2) / (tri.sum(2, keepdims=True) + 5)).astype(np.float32)
+                self.tri[t] += least
+        self.bi, self.one, self.after_two, self.after_one = Counter(), Counter(), Counter(), Counter()
+        for (x, y, z), n in self.tri.items():
+            self.bi[y, z] += n
+            self.one[z] += n
+            self.after_two[x, y] += n
+            self.after_one[y] += n
+        self.total = sum(self.one.values())
+
+    @functools.cached_property
+    def logs(self) -> Memo:
+        """The log probability of the last of three letters after the other two."""
+        return Memo(self._log, 200_000)
+
+    def _log(self, letters: str) -> float:
+        x, y, z = (self.code.get(c, 1) for c in letters)
+        n = len(self.code) + 1
+        p1 = (self.one[z] + 0.5) / (self.total + 0.5 * n)
+        p2 = (self.bi[y, z] + 5 * p1) / (self.after_one[y] + 5)
+        return math.log((self.tri[x, y, z] + 5 * p2) / (self.after_two[x, y] + 5))
 
     def score(self, a: str, b: str, c: str) -> float:
-        code = self.code
-        return float(self.logs[code.get(a, 1), code.get(b, 1), code.get(c, 1)])
+        return self.logs[a + b + c]
 
 
 def arcs(segment: str) -> list[list[tuple[int, str, float]]]:
-    """For each place the arcs that leave it: signs taken, what they read as, channel cost."""
-    out: list[list[tuple[int, str, float]]] = []
-    n = len(segment)
-    for i, c in enumerate(segment):
-        run = i
-        while run < n and segment[run] == c:
-            run += 1
-        run -= i
-        here: list[tuple[int, str, float]] = []
-        if c.isalpha():
-            here.append((1, c, 0.0))
-            if run > 1:
-                here += [(run, c, REPEAT), (run, c + c, REPEAT)]
-        else:
-            reads = LOOKALIKES.get(c, "")
-            cost = WILD if len(reads) > 2 else SWAP
-            for r in reads:
-                here.append((1, r, cost))
-                if run > 1:
-                    here += [(run, r, cost + REPEAT), (run, r + r, cost + REPEAT)]
-            apart = c.isspace() or c in SEPARATORS
-            here += [(1, "", JOIN if apart else DROP), (1, " ", SPLIT)]
-            if not c.isspace():
-                here.append((1, c, AS_IS))
-        out.append(here)
-    return out
+    """For each place the arcs that leave it: signs taken, what they read as, channel cost.
+    Places with the same sign and as many of it ahead share their list."""
+    known: dict[tuple[str, int], list[tuple[int, str, float]]] = {}
+    out, run, after = [], 0, ""
+    for c in reversed(segment):
+        run = run + 1 if c == after else 1
+        after = c
+        if (c, run) not in known:
+            known[c, run] = _arcs(c, run)
+        out.append(known[c, run])
+    return out[::-1]
+
+
+def _arcs(c: str, run: int) -> list[tuple[int, str, float]]:
+    here: list[tuple[int, str, float]] = []
+    if c.isalpha():
+        here.append((1, c, 0.0))
+        if run > 1:
+            here += [(run, c, REPEAT), (run, c + c, REPEAT)]
+        return here
+    reads = LOOKALIKES.get(c, "")
+    cost = WILD if len(reads) > 2 else SWAP
+    for r in reads:
+        here.append((1, r, cost))
+        if run > 1:
+            here += [(run, r, cost + REPEAT), (run, r + r, cost + REPEAT)]
+    apart = c.isspace() or c in SEPARATORS
+    here += [(1, "", JOIN if apart else DROP), (1, " ", SPLIT)]
+    if not c.isspace():
+        here.append((1, c, AS_IS))
+    return here
 
 
 def decode(segment: str, model: CharModel) -> str:
-    """The best reading of a segment; words in it are set apart by single spaces."""
-    lattice, n = arcs(segment), len(segment)
-    # By place: (last but one, last) -> (score, reading), for the best reading of each.
-    best: list[dict[tuple[str, str], tuple[float, str]]] = [{} for _ in range(n + 1)]
-    best[0][" ", " "] = (0.0, "")
+    """The best reading of a segment; words in it are set apart by single spaces.
+
+    A state is the last two letters read; it keeps its score and a link back to the states it
+    came through, so time and memory grow in proportion to the segment."""
+    logs, lattice, n = model.logs, arcs(segment), len(segment)
+    best: dict[int, dict[str, tuple[float, tuple | None]]] = {0: {"  ": (0.0, None)}}
     for i in range(n):
-        for (a, b), (score, read) in best[i].items():
+        for state, (score, path) in best.pop(i, {}).items():
             for taken, reads, cost in lattice[i]:
-                x, y, s = a, b, score + cost
+                x, s = state, score + cost
                 for c in reads:
-                    if c == " " and y == " ":
+                    if c == " " == x[1]:
                         continue
-                    s += model.score(x, y, c)
-                    x, y = y, c
-                to = best[i + taken]
-                if (x, y) not in to or s > to[x, y][0]:
-                    to[x, y] = (s, read + reads)
-        best[i] = {}
-    ends = [(s + model.score(a, b, " ") * (b != " "), read) for (a, b), (s, read) in best[n].items()]
-    return " ".join(max(ends)[1].split())
+                    x += c
+                    s += logs[x]
+                    x = x[1:]
+                to = best.setdefault(i + taken, {})
+                if x not in to or s > to[x][0]:
+                    to[x] = (s, (path, reads) if reads else path)
+    _, path = max(((s + logs[x + " "] * (x[1] != " "), p) for x, (s, p) in best[n].items()), key=lambda end: end[0])
+    read = []
+    while path:
+        path, letters = path
+        read.append(letters)
+    return " ".join("".join(reversed(read)).split())
+
+
+def bare(token: str, edge: str, end: str) -> str:
+    """A token without signs of ``edge`` at its start and of ``end`` at its end, and without any
+    sign that stands there three times or more."""
+    lo, hi, before = 0, len(token), None
+    sign = lambda c: not c.isalnum() and not c.isspace()
+    while lo < hi and before != (lo, hi):
+        before = lo, hi
+        while lo < hi and token[lo] in edge:
+            lo += 1
+        while lo < hi and token[hi - 1] in end:
+            hi -= 1
+        if hi - lo > 2 and token[lo] == token[lo + 1] == token[lo + 2] and sign(c := token[lo]):
+            while lo < hi and token[lo] == c:
+                lo += 1
+        if hi - lo > 2 and token[hi - 1] == token[hi - 2] == token[hi - 3] and sign(c := token[hi - 1]):
+            while lo < hi and token[hi - 1] == c:
+                hi -= 1
+    return token[lo:hi]
 
 
 def core(token: str) -> str:
-    while True:
-        cut_off = _TAIL.sub("", token).strip(_EDGE).rstrip("!")
-        if cut_off == token:
-            return token
-        token = cut_off
+    return token if token.isalpha() else bare(token, _EDGE, _EDGE + "!")
 
 
 def features(word: str) -> list[str]:
@@ -236,7 +275,7 @@ class Scorer:
     def _odd(self, token: str) -> tuple[dict[str, float], str]:
         """The weighty words of a token that isn't one plain word, and its reading if it was
         decoded. Both the words as they stand and the reading count: decoding hides no word."""
-        inner, full = core(token), _TAIL.sub("", token).strip(_PLAIN_EDGE)
+        inner, full = core(token), bare(token, _PLAIN_EDGE, _PLAIN_EDGE)
         words, read = _WORD.findall(inner), ""
         found = {w: self.of_word[w] for w in words if w[: PREFIXES[0]] in self.starts}
         if token in self.plain or inner in self.plain or _NUMBER.fullmatch(token):
@@ -337,24 +376,31 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return counted.select(letters.alias("word"), "n").where(F.col("word").rlike(r"^\p{L}+$")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def char_model(counts: DataFrame, lexicon: dict[str, float], letters: int = LETTERS) -> CharModel:
-    """The trigram model of word counts, in which the words of the lexicon have a least mass;
-    its size depends on ``letters`` alone."""
-    top = counts.select("n", F.explode(F.split("word", "")).alias("c")).where("c != ''").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(letters)
-    known = [r.c for r in top.collect()]
-    code = {c: i + 2 for i, c in enumerate(known)}
+def char_model(counts: DataFrame, lexicon: dict[str, float], letter_share: float = LETTER_SHARE, trigram_share: float = TRIGRAM_SHARE) -> CharModel:
+    """The trigram model of word counts, in which the words of the lexicon have a least mass.
+    It grows with the letters and trigrams that the corpus has, up to the inverses of the shares."""
+    letters = counts.select("n", F.explode(F.split("word", "")).alias("c")).where("c != ''").groupBy("c").agg(F.sum("n").alias("n"))
+    total = letters.agg(F.sum("n")).first()[0] or 0
+    known = sorted(r.c for r in letters.where(F.col("n") >= letter_share * total).select("c").collect())  # at most 1 / letter_share
+    sent = counts.sparkSession.sparkContext.broadcast({c: i + 2 for i, c in enumerate(known)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[tuple[int, int, int]] = Counter()
+        code = sent.value
+        flush = lambda: pa.RecordBatch.from_pydict({"a": pa.array([t[0] for t in count], pa.int32()), "b": pa.array([t[1] for t in count], pa.int32()), "c": pa.array([t[2] for t in count], pa.int32()), "n": pa.array(list(count.values()), pa.int64())})
         for b in batches:
             for w, n in zip(texts(b.column(0)), b.column(1).to_pylist()):
                 ids = [0, 0, *(code.get(c, 1) for c in w), 0]
                 for t in zip(ids, ids[1:], ids[2:]):
                     count[t] += n
-        yield pa.RecordBatch.from_pydict({"a": pa.array([t[0] for t in count], pa.int32()), "b": pa.array([t[1] for t in count], pa.int32()), "c": pa.array([t[2] for t in count], pa.int32()), "n": pa.array(list(count.values()), pa.int64())})
+            if len(count) > 200_000:
+                yield flush()
+                count.clear()
+        yield flush()
 
     tri = counts.select("word", "n").mapInArrow(run, "a int, b int, c int, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
-    return CharModel(known, {(r.a, r.b, r.c): r.n for r in tri.collect()}, [f[1:] for f in sorted(lexicon) if f[0] == "="])  # at most (letters + 2) ** 3 rows
+    tri = tri.where(F.col("n") >= trigram_share * total).orderBy("a", "b", "c")
+    return CharModel(known, {(r.a, r.b, r.c): r.n for r in tri.collect()}, [f[1:] for f in sorted(lexicon) if f[0] == "="])  # at most about 1 / trigram_share
 
 
 def lower_bound(k: int, n: int, z: float = SIGMA) -> float:
@@ -441,7 +487,8 @@ def plain_tokens(clean: Counter, toxic: Counter, words: set[str]) -> set[str]:
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
-    """The lexicon from the labelled documents that ``usable`` (of ``id``) admits."""
+    """The lexicon from the labelled documents that ``usable`` (of ``id``) admits. Of several
+    texts of one id that of the least hash counts, of several labels the greatest."""
     chosen = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & usable)
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
 
@@ -451,7 +498,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, id_col: st
 
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
     # The chosen ids are at most ``sample_rows``, so they go to every executor.
-    rows = own.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("t", "label", F.xxhash64("id").alias("h"), "id")
+    one = own.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("first"))
+    rows = one.select("first.t", "label", F.xxhash64("id").alias("h"), "id")
     fitted = rows.repartition(1).sortWithinPartitions(F.desc("label"), "h", "id").select("t", "label").mapInArrow(run, "feature string, weight double")
     return {r.feature: r.weight for r in fitted.collect()}
 

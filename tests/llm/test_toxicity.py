@@ -98,3 +98,35 @@ def test_what_clean_documents_hold_stands_as_written(word, clean):
 
 def test_no_letterless_sign_run_is_a_word(scorer):
     assert scorer.score("***** ##### |||| (( << ++++ %%% *** 10:30 2019-01-02 50% - - - - " + "a " * 9000) < toxicity.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["a b " * 500_000, "a" * 1_000_000, "x1" * 500_000, "a" + "=" * 1_000_000 + "a", "?!" * 500_000 + "x", "€€€£££" * 170_000 + "x", "1" + "." * 1_000_000 + "x", "i.d.i.o.t." * 100_000], ids=["apart", "one letter", "digits", "signs", "edges", "runs", "number", "dots"])
+def test_very_long_texts_take_time_in_proportion(scorer, text):
+    import time
+
+    began = time.process_time()
+    found = scorer.score(text)
+    assert (found >= toxicity.THRESHOLD) == ("i.d" in text) and time.process_time() - began < 60
+
+
+def test_core():
+    for token, want in [("!!!idiot!?!", "idiot"), ("(1d10t)", "1d10t"), ("!diot!", "!diot"), ("~~~", ""), ("€€€x€€€", "x"), ("€€x", "€€x"), ("", ""), ("..!!!x", "x"), ("don't", "don't")]:
+        assert toxicity.core(token) == want, token
+
+
+def test_letters_of_any_script_are_told_apart(spark):
+    """More letters than any alphabet has: readings differ by what the corpus holds."""
+    words = [chr(0x4E00 + i) + chr(0x4E00 + 7 * i % 300) for i in range(300)]
+    counts = spark.createDataFrame([(w, 5) for w in words], "word string, n long")
+    m = toxicity.char_model(counts, {})
+    assert len(m.code) == 301 and m.score(" ", words[3][0], words[3][1]) > m.score(" ", words[3][0], words[4][1])
+    small = toxicity.char_model(counts, {}, letter_share=0.9)
+    assert len(small.code) == 1
+
+
+def test_one_id_with_several_texts(spark):
+    rows = [(1, f"vile text {i}", "x") for i in range(20)] + [(2, "fine", "y")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    seen = [toxicity.learn_lexicon(docs.repartition(n), labels, F.lit(True)) for n in (1, 7)]
+    assert seen[0] == seen[1]
