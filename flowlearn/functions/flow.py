@@ -33,8 +33,8 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def stripped(c: Column) -> Column:
-    """Without white space of any kind at both ends (``trim`` drops spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space of any kind at both ends."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def number(c: Column) -> Column:
@@ -52,14 +52,18 @@ def measure(c: Column, log: bool = True) -> Column:
 
 def label_parts(c: Column) -> Column:
     """The three parts of the combined label (tunnel, label, detail); null unless there are three."""
-    found = F.regexp_extract_all(c, F.lit(r"^\s*(\S+)\s+(\S+)\s+(\S[\s\S]*?)\s*$"), 0)
-    part = lambda k: F.regexp_extract(c, r"^\s*(\S+)\s+(\S+)\s+(\S[\s\S]*?)\s*$", k)
-    return F.when(F.size(found) == 1, F.array(part(1), part(2), part(3)))
+    found = F.split(stripped(c), r"\s+", 3)
+    return F.when(F.size(found) == 3, found)
 
 
 def binary_label(c: Column) -> Column:
     """0 benign, 1 malicious, null for any other spelling."""
-    label = F.get(label_parts(c), 1)
+    return binary_of(label_parts(c))
+
+
+def binary_of(parts: Column) -> Column:
+    """The same of the parts of a label."""
+    label = F.get(parts, 1)
     return F.when(label.isin(BENIGN), F.lit(0)).when(label.isin(MALICIOUS), F.lit(1)).cast("byte")
 
 

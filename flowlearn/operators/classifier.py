@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import io
 import json
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import read_file, write_file
 from .scaling import classes_of
 
 #: Partial sums are united in so many tasks before the driver adds them.
@@ -20,8 +21,12 @@ SLOTS = 8
 ACTIVATIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"abs": np.abs, "tanh": np.tanh}
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+#: Element types of weights, hidden values and scores. Gram sums are of doubles in either.
+ELEMENTS = {"float": np.float32, "double": np.float64}
+
+
+def _matrix(column: pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
     if len(values) != len(column) * width:
         raise ValueError(f"features must have {width} values")
     if not np.isfinite(values).all():
@@ -31,9 +36,12 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 class RandomFeatureClassifier:
     """``activation`` is a name or a function of arrays. Weights are standard normal from
-    ``seed``, or given as ``weights`` (inputs x hidden) and ``biases``."""
+    ``seed``, or given as ``weights`` (inputs x hidden) and ``biases``; ``element`` is their type."""
 
-    def __init__(self, hidden: int = 100, activation: str | Callable = "abs", ridge: float = 0.01, seed: int = 42, weights: np.ndarray | None = None, biases: np.ndarray | None = None):
+    def __init__(self, hidden: int = 100, activation: str | Callable = "abs", ridge: float = 0.01, seed: int = 42, weights: np.ndarray | None = None, biases: np.ndarray | None = None, element: str = "double"):
+        if element not in ELEMENTS:
+            raise ValueError(f"element must be one of {sorted(ELEMENTS)}")
+        self.element = element
         if hidden <= 0:
             raise ValueError("hidden must be positive")
         if ridge < 0:
@@ -50,13 +58,14 @@ class RandomFeatureClassifier:
         if self.weights is None:
             rng = np.random.default_rng(self.seed)
             self.weights, self.biases = rng.standard_normal((width, self.hidden)), rng.standard_normal(self.hidden)
+        self.weights, self.biases = (np.asarray(x, dtype=ELEMENTS[self.element]) for x in (self.weights, self.biases))
 
     def gram(self, df: DataFrame, features: str, label: str, classes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hidden Gram matrix, hidden-by-class sums and class counts over all rows.
 
         Each task sums its rows; the sums are united in ``SLOTS`` tasks and then here, so what
         reaches the driver depends on the model alone."""
-        w, b, act, h = self.weights, self.biases, self.activation, self.hidden
+        w, b, act, h, kind = self.weights, self.biases, self.activation, self.hidden, ELEMENTS[self.element]
         sent = df.sparkSession.sparkContext.broadcast((w, b))
         at = F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1
 
@@ -72,7 +81,7 @@ class RandomFeatureClassifier:
                 y = batch.column(1).to_numpy(zero_copy_only=False)
                 if batch.column(1).null_count or (y < 0).any():
                     raise ValueError("a label is none of the classes")
-                hid = act(_matrix(batch.column(0), w.shape[0]) @ w + b)
+                hid = act(_matrix(batch.column(0), w.shape[0], kind) @ w + b).astype(np.float64)
                 onehot = np.eye(len(classes))[y.astype(np.int64)]
                 g += hid.T @ hid
                 r += hid.T @ onehot
@@ -91,22 +100,24 @@ class RandomFeatureClassifier:
         found = total([bytes(x.sums) for x in partial.repartition(SLOTS, "slot").mapInArrow(unite, "sums binary").collect()])
         return found[: h * h].reshape(h, h), found[h * h : h * h + h * len(classes)].reshape(h, -1), found[h * h + h * len(classes) :]
 
-    def fit(self, df: DataFrame, features: str = "features", label: str = "label", order: str | None = None, classes: list | None = None) -> RandomFeatureClassifier:
+    def fit(self, df: DataFrame, features: str = "features", label: str = "label", order: str | None = None, classes: list | None = None, width: int | None = None) -> RandomFeatureClassifier:
         """Fit on all rows. Classes come in the order of first rows by ``order`` (sorted by
-        default). Given ``classes`` must be two or more, each with rows."""
+        default). Given ``classes`` must be two or more, each with rows. ``width`` is the number
+        of features, if it is known; else a row is asked for."""
         if classes is not None and len(classes) < 2:
             raise ValueError("at least two classes are required")
         if classes is not None and len(set(classes)) != len(classes):
             raise ValueError("classes must be unique")
-        first = df.select(features).first()
-        if first is None:
-            raise ValueError("there are no rows")
-        self._start(len(first[0]))
+        if width is None:
+            if (first := df.select(features).first()) is None:
+                raise ValueError("there are no rows")
+            width = len(first[0])
+        self._start(width)
         own = classes if classes is not None else classes_of(df, label, order or label)
         g, r, n = self.gram(df, features, label, own)
         if not (n > 0).all():
             raise ValueError("every class must occur")
-        self.readout, self.classes = np.linalg.solve(g + self.ridge * np.eye(self.hidden), r), list(own)
+        self.readout, self.classes = np.linalg.solve(g + self.ridge * np.eye(self.hidden), r).astype(ELEMENTS[self.element]), list(own)
         return self
 
     def _fitted(self) -> None:
@@ -116,12 +127,12 @@ class RandomFeatureClassifier:
     def scores(self, df: DataFrame, features: str = "features") -> DataFrame:
         """``df`` with ``scores``, one for each class."""
         self._fitted()
-        sent, act, names = df.sparkSession.sparkContext.broadcast((self.weights, self.biases, self.readout)), self.activation, df.columns
+        sent, act, names, kind = df.sparkSession.sparkContext.broadcast((self.weights, self.biases, self.readout)), self.activation, df.columns, ELEMENTS[self.element]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, b, beta = sent.value
             for batch in batches:
-                s = act(_matrix(batch.column(0), w.shape[0]) @ w + b) @ beta
+                s = (act(_matrix(batch.column(0), w.shape[0], kind) @ w + b) @ beta).astype(np.float64)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, s.shape[1], dtype=np.int32)), pa.array(s.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], listed], names=[*names, "scores"])
 
@@ -158,23 +169,21 @@ class RandomFeatureClassifier:
         return self.decision(df, features, positive).withColumn("predicted", F.when(F.col("decision") >= threshold, F.lit(self.classes[p])).otherwise(F.lit(self.classes[n])))
 
     def save(self, path: str) -> str:
-        """Write arrays and settings; the file appears whole or not at all."""
+        """Write arrays and settings to any file system of Hadoop; the file appears whole or not at all."""
         self._fitted()
         name = next((k for k, f in ACTIVATIONS.items() if f is self.activation), None)
         if name is None:
             raise ValueError("only models with a named activation can be saved")
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        about = json.dumps({"hidden": self.hidden, "activation": name, "ridge": self.ridge, "seed": self.seed, "classes": self.classes})
-        with open(f"{path}.tmp", "wb") as f:
-            np.savez(f, weights=self.weights, biases=self.biases, readout=self.readout, about=np.array(about))
-        os.replace(f"{path}.tmp", path)
-        return path
+        about = json.dumps({"hidden": self.hidden, "activation": name, "ridge": self.ridge, "seed": self.seed, "classes": self.classes, "element": self.element})
+        out = io.BytesIO()
+        np.savez(out, weights=self.weights, biases=self.biases, readout=self.readout, about=np.array(about))
+        return write_file(path, out.getvalue())
 
     @classmethod
     def load(cls, path: str) -> RandomFeatureClassifier:
-        if not os.path.exists(path):
+        if (content := read_file(path)) is None:
             raise ValueError(f"model file does not exist: {path}")
-        with np.load(path) as found:
+        with np.load(io.BytesIO(content)) as found:
             about = json.loads(str(found["about"]))
             classes = about.pop("classes")
             out = cls(**about, weights=found["weights"], biases=found["biases"])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import flow
-from ..sources.flowlog import parts
+from ..sources.delimited import inferred_schema
+from ..sources.flowlog import parts, scan
 
 NUMERICS = ["duration", "orig_bytes", "resp_bytes"]
 
@@ -38,14 +41,29 @@ def _with_label(lines: DataFrame) -> DataFrame:
     return parts(lines).withColumn("lab", label)
 
 
+def files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Profiles of scenario files with ``columns``, ``schema_matches``, ``inferred_types`` (from
+    the first 10,000 rows) and ``elapsed_seconds`` (of the one job that profiles them all)."""
+    began = time.time()
+    found = scenarios(scan(spark, paths)).collect()  # a row for each scenario
+    took, rows = round(time.time() - began, 3), []
+    for path in paths:
+        names, types = inferred_schema(spark, path)
+        rows.append((path.rsplit("/", 1)[-1], len(names), names == flow.FIELDS, types, took))
+    about = spark.createDataFrame(rows, "scenario string, columns int, schema_matches boolean, inferred_types string, elapsed_seconds double")
+    return spark.createDataFrame(found, scenarios(scan(spark, paths)).schema).join(about, "scenario")
+
+
 def scenarios(lines: DataFrame) -> DataFrame:
-    """A row for each scenario of ``lines`` (scenario, value): rows, label counts, sorted
+    """A row for each scenario of ``lines`` (scenario, value, and size_bytes if known): rows, label counts, sorted
     vocabularies joined by |, and how often numbers are dashes, question marks and so on.
 
     One aggregation with partial sums; vocabularies are sets of short codes."""
     words = lambda n: F.array_join(F.array_sort(F.collect_set(flow.stripped(_observed(n)))), "|").alias(f"{n}_values")
     label = F.get("lab", 1)
+    size = [F.max("size_bytes").alias("size_bytes")] if "size_bytes" in lines.columns else []
     return _with_label(lines).groupBy("scenario").agg(
+        *size,
         F.count(F.lit(1)).alias("rows"),
         F.count_if(label.isin(flow.BENIGN)).alias("benign"),
         F.count_if(label.isin(flow.MALICIOUS)).alias("malicious"),

@@ -5,13 +5,15 @@ The test tables hold no flow logs, so lines are made of ``events``; scenarios ar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import flow
 from ..operators import classifier, encode, evaluate, profile, sampling, scaling
 from ..operators.windows import host_windows
 from ..sources import delimited, flowlog
+from ..sources.shared import fresh_folder
 from . import pipeline
 
 DAY = 86_400.0
@@ -74,7 +76,10 @@ def query(sql: str | None = None):
 @query(FLOWS + f"""SELECT scenario, row_seq, round(ts, 6) AS ts, orig_h, resp_h, resp_p, port, service, history, label, detailed_label,
   {', '.join(f'round({n}, 6) AS {n}' for n in [*NUM, 'missed_bytes'])} FROM f""")
 def parse_flow_lines(spark, d):
-    p = _flows(spark, d)
+    return _parsed(_flows(spark, d))
+
+
+def _parsed(p: DataFrame) -> DataFrame:
     return p.select("scenario", "row_seq", _r("ts"), "orig_h", "resp_h", "resp_p", F.col("`id.resp_p`").alias("port"), "service", "history", F.col("label").cast("int").alias("label"), "detailed_label", *[F.round(flow.measure(F.col(n), False), 6).alias(n) for n in [*NUM, "missed_bytes"]])
 
 
@@ -165,12 +170,18 @@ SELECT a.event_id, count(b.event_id)::DOUBLE AS win_flow_count, count(DISTINCT b
 FROM n a LEFT JOIN n b ON {key} AND b.rn BETWEEN a.rn - {history} AND a.rn - 1 AND b.ts >= a.ts - {seconds} GROUP BY a.event_id"""
 
 
-def _windowed(spark, d, **how) -> DataFrame:
+def _events(spark, d) -> DataFrame:
+    """Flows with the ``event_id`` that they were made of."""
     lines = _lines(spark, d)
     flows = flowlog.parse(lines).join(lines.select("scenario", "row_seq", "event_id"), ["scenario", "row_seq"])
+    return flows.select("scenario", "orig_h", "row_seq", "event_id", "ts", "resp_h", "resp_p")
+
+
+def _windowed(spark, d, **how) -> DataFrame:
+    flows = _events(spark, d)
     if how.get("keys") == ("orig_h",):
         flows = flows.withColumn("row_seq", F.col("event_id"))
-    return host_windows(flows.select("scenario", "orig_h", "row_seq", "event_id", "ts", "resp_h", "resp_p"), **how).select("event_id", *flow.WINDOW_STATS[:3], _r("win_same_port_ratio"))
+    return host_windows(flows, **how).select("event_id", *flow.WINDOW_STATS[:3], _r("win_same_port_ratio"))
 
 
 @query(_window_sql(DAY, 50, True))
@@ -231,7 +242,18 @@ def quota_lookup(spark, d):
     return _plan(spark, d, 69)[1].table(spark)
 
 
-@query()
+_OPEN = "len(list_filter(range(1, {end}), lambda j: dealt[j] < caps[j]))"
+_LEFT = "(target - list_sum(dealt))"
+
+
+@query(FLOWS.replace("WITH f", "WITH RECURSIVE f", 1) + f""", c AS (SELECT scenario, label, count(*) AS n FROM f GROUP BY ALL),
+k AS (SELECT y.label, s.scenario, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT scenario FROM f) s CROSS JOIN (VALUES (0), (1)) y(label) LEFT JOIN c ON c.scenario = s.scenario AND c.label = y.label),
+caps AS (SELECT label, list(n ORDER BY scenario) AS caps, list(scenario ORDER BY scenario) AS names, (SELECT count(*) * 3 // 4 FROM f WHERE label = 1) AS target FROM k GROUP BY label),
+r AS (SELECT label, caps, names, target, list_transform(caps, lambda x: 0::BIGINT) AS dealt FROM caps
+  UNION ALL SELECT label, caps, names, target, list_transform(range(1, len(caps) + 1), lambda i: (dealt[i] + CASE WHEN dealt[i] < caps[i] THEN least(caps[i] - dealt[i], {_LEFT} // {_OPEN.format(end='len(caps) + 1')} + CAST({_OPEN.format(end='i')} < {_LEFT} % {_OPEN.format(end='len(caps) + 1')} AS BIGINT)) ELSE 0 END)::BIGINT)
+  FROM r WHERE list_sum(dealt) < target)
+SELECT u.name AS dataset, CASE label WHEN 1 THEN 'malicious' ELSE 'benign' END AS class, u.cap::BIGINT AS available, u.got::BIGINT AS selected
+FROM (SELECT label, unnest(list_transform(range(1, len(caps) + 1), lambda i: {{'name': names[i], 'cap': caps[i], 'got': dealt[i]}})) AS u FROM r WHERE list_sum(dealt) = target)""")
 def equalized_quotas(spark, d):
     """A target that the smaller strata can't share evenly."""
     flows, _ = _plan(spark, d, 1)
@@ -265,8 +287,6 @@ def hidden_layer(spark, d):
 
 @query(HIDDEN + " " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(sum(h{i} * h{j}), 4) AS value FROM h" for i in range(H) for j in range(H)))
 def gram_matrix(spark, d):
-    import numpy as np
-
     m = classifier.RandomFeatureClassifier(H, weights=np.array(WEIGHTS).T, biases=np.array(BIASES))
     df = _t(spark, d, "embeddings").select("embedding", (F.col("label") >= 5).cast("int").alias("y"))
     g, _, _ = m.gram(df, "embedding", "y", [0, 1])
@@ -274,8 +294,6 @@ def gram_matrix(spark, d):
 
 
 def _fixed_model(classes: list) -> classifier.RandomFeatureClassifier:
-    import numpy as np
-
     m = classifier.RandomFeatureClassifier(H, weights=np.array(WEIGHTS).T, biases=np.array(BIASES))
     m.readout, m.classes = np.array(READOUT).T, classes
     return m
@@ -378,9 +396,189 @@ def scan_totals(spark, d):
     return spark.createDataFrame([tuple(sum(g[k] for g in got.values()) for k in ("rows", "benign", "malicious"))], "rows long, benign long, malicious long")
 
 
-@query()
+# In SQL: the behavioral numerics of each flow.
+_FLAG_SQL = ", ".join(f"length(regexp_replace(history, '[^{p[1:-1]}]', '', 'g'))::DOUBLE AS {n}" for n, p in flow.FLAGS.items())
+BEHAVIOR = FLOWS + f""", n AS (SELECT *, row_number() OVER (PARTITION BY scenario, orig_h ORDER BY row_seq) AS rn FROM f),
+w AS (SELECT a.event_id, count(b.event_id)::DOUBLE AS win_flow_count, count(DISTINCT b.resp_p)::DOUBLE AS win_unique_resp_p, count(DISTINCT b.resp_h)::DOUBLE AS win_unique_resp_h,
+  CASE WHEN count(b.event_id) = 0 THEN 0.0 ELSE count(*) FILTER (b.resp_p = a.resp_p) / count(b.event_id)::DOUBLE END AS win_same_port_ratio
+  FROM n a LEFT JOIN n b ON a.scenario = b.scenario AND a.orig_h = b.orig_h AND b.rn BETWEEN a.rn - 50 AND a.rn - 1 AND b.ts >= a.ts - {DAY} GROUP BY a.event_id),
+x AS (SELECT f.*, w.* EXCLUDE (event_id), {_FLAG_SQL}, scenario NOT IN {HELD} AS train FROM f JOIN w USING (event_id))"""
+_NUMERICS, _CATS = flow.REPRESENTATIONS["behavioral"]
+_SOURCES = {"id.resp_p": "port"}
+_SLOTS = " UNION ALL ".join(f"SELECT {j} AS j, '{c}' AS source, 0 AS unknown, v FROM (SELECT DISTINCT {_SOURCES.get(c, c)} AS v FROM x WHERE train) UNION ALL SELECT {j}, '{c}', 1, '{flow.UNKNOWN}'" for j, c in enumerate(_CATS))
+_TABLE = " UNION ALL ".join(
+    f"SELECT {i + 1} AS feature_index, '{n}' AS feature_name, 'numeric' AS kind, '{n}' AS source, round(avg(ln(1 + {n})), 6) AS training_mean, round(CASE WHEN stddev_pop(ln(1 + {n})) < 1e-12 THEN 1 ELSE stddev_pop(ln(1 + {n})) END, 6) AS training_scale, count({n}) AS training_valid_count FROM x WHERE train"
+    f" UNION ALL SELECT {len(_NUMERICS) + i + 1}, '{n}_missing', 'missing_indicator', '{n}', NULL, NULL, count({n}) FROM x WHERE train"
+    for i, n in enumerate(_NUMERICS)
+)
+
+
+@query(BEHAVIOR + f", s AS ({_SLOTS}) {_TABLE} UNION ALL SELECT ({2 * len(_NUMERICS)} + row_number() OVER (ORDER BY j, unknown, v))::INT, source || '=' || v, 'one_hot', source, NULL, NULL, NULL FROM s")
 def feature_table(spark, d):
-    return encode.fit_all(_train(_flows(spark, d)), seconds=DAY, mode="frame")["behavioral"].table(spark)
+    """The layout and statistics of the behavioral encoder."""
+    t = encode.fit_all(_train(_flows(spark, d)), seconds=DAY, mode="frame")["behavioral"].table(spark)
+    return t.select("feature_index", "feature_name", "kind", "source", _r("training_mean"), _r("training_scale"), "training_valid_count")
+
+
+_B_SUMS = ", ".join(f"avg(ln(1 + {n})) FILTER (train) AS m_{n}, CASE WHEN stddev_pop(ln(1 + {n})) FILTER (train) < 1e-12 THEN 1 ELSE stddev_pop(ln(1 + {n})) FILTER (train) END AS s_{n}" for n in _NUMERICS)
+_B_ROWS = " UNION ALL ".join(f"SELECT scenario, '{n}' AS feature, round(sum(coalesce((ln(1 + {n}) - m_{n}) / s_{n}, 0)), 4) AS total FROM x, p GROUP BY 1 UNION ALL SELECT scenario, '{n}_missing', round(sum(CAST({n} IS NULL AS DOUBLE)), 4) FROM x GROUP BY 1" for n in _NUMERICS)
+
+
+@query(BEHAVIOR + f", p AS (SELECT {_B_SUMS} FROM x) SELECT scenario, feature, total + 0.0 AS total FROM ({_B_ROWS})")
+def encode_behavioral(spark, d):
+    """Sums of the numerics and their indicators of the behavioral encoder, by scenario."""
+    raw = encode.raw_numerics(_flows(spark, d), "behavioral", seconds=DAY, mode="frame")
+    e = encode.fit_raw(_train(raw), ["behavioral"], datatype="double")["behavioral"]
+    names = F.array(*map(F.lit, e.feature_names[: 2 * len(e.numerics)]))
+    x = encode.encoded(raw, e).select("scenario", F.explode(F.arrays_zip(names.alias("feature"), F.slice("features", 1, 2 * len(e.numerics)).alias("value"))).alias("z"))
+    return x.groupBy("scenario", F.col("z.feature").alias("feature")).agg((F.round(F.sum("z.value"), 4) + 0.0).alias("total"))
+
+
+_BACK, _KEEP = 3 * DAY, 5
+
+
+@query(FLOWS.replace("WITH f", "WITH RECURSIVE f", 1) + f""", g AS (SELECT orig_h, event_id, ts - (event_id * 7919 % 5) * 200000 AS t, resp_h, resp_p, row_number() OVER (PARTITION BY orig_h ORDER BY event_id) AS rn FROM f),
+l AS (SELECT orig_h, list(t ORDER BY rn) AS ts FROM g GROUP BY orig_h),
+r AS (SELECT orig_h, 1::BIGINT AS rn, 1::BIGINT AS p FROM l
+  UNION ALL SELECT r.orig_h, r.rn + 1, greatest(r.rn + 1 - {_KEEP}, r.p - 1 + coalesce(nullif(list_position(list_transform(l.ts[r.p : r.rn], lambda t: t >= l.ts[r.rn + 1] - {_BACK}), true), 0), r.rn - r.p + 2)) FROM r JOIN l USING (orig_h) WHERE r.rn < len(l.ts))
+SELECT a.event_id, count(b.event_id)::DOUBLE AS win_flow_count, count(DISTINCT b.resp_p)::DOUBLE AS win_unique_resp_p, count(DISTINCT b.resp_h)::DOUBLE AS win_unique_resp_h,
+  round(CASE WHEN count(b.event_id) = 0 THEN 0.0 ELSE count(*) FILTER (b.resp_p = a.resp_p) / count(b.event_id)::DOUBLE END, 6) AS win_same_port_ratio
+FROM g a JOIN r ON r.orig_h = a.orig_h AND r.rn = a.rn LEFT JOIN g b ON b.orig_h = a.orig_h AND b.rn BETWEEN r.p AND a.rn - 1 GROUP BY a.event_id""")
+def host_window_out_of_order(spark, d):
+    """Time that runs backwards: what was forgotten stays forgotten."""
+    e = F.col("event_id")
+    flows = _events(spark, d).withColumn("row_seq", e).withColumn("ts", F.col("ts") - (e * 7919 % 5) * 200000)
+    return host_windows(flows, seconds=_BACK, history=_KEEP, mode="exact", keys=("orig_h",)).select("event_id", *flow.WINDOW_STATS[:3], _r("win_same_port_ratio"))
+
+
+@query(_window_sql(DAY, 50, True))
+def host_window_ranged(spark, d):
+    """Ranges of 40 lines, so that hosts span several."""
+    return _windowed(spark, d, seconds=DAY, mode="exact", range_rows=40)
+
+
+@query(FLOWS + "SELECT scenario AS dataset, CASE scenario WHEN 'dataset23.csv' THEN 'test' ELSE 'validation' END AS partition FROM f WHERE scenario IN ('dataset12.csv', 'dataset23.csv') GROUP BY scenario")
+def leakage_planted(spark, d):
+    """An encoder that was fitted on all scenarios leaks both held-out ones."""
+    lines = _lines(spark, d)
+    e = encode.fit(flowlog.parse(lines), "baseline")
+    split = sampling.scenario_split(lines.select(F.col("scenario").alias("dataset")).distinct())
+    return sampling.leakage(split, spark.createDataFrame([(s,) for s in e.fitted_scenarios], "dataset string")).select("dataset", "partition")
+
+
+@query(ORACLES["parse_flow_lines"])
+def scan_files(spark, d):
+    """The lines written as scenario files, scanned and parsed."""
+    paths = flowlog.write_scenarios(_lines(spark, d), fresh_folder(spark, "scenarios"))
+    return _parsed(flowlog.parse(flowlog.scan(spark, paths)))
+
+
+@query(FLOWS + "SELECT scenario, 21 AS columns, true AS schema_matches, count(*) AS rows, sum(label)::BIGINT AS malicious FROM f GROUP BY scenario")
+def file_profile(spark, d):
+    paths = flowlog.write_scenarios(_lines(spark, d), fresh_folder(spark, "scenarios"))
+    return profile.files(spark, paths).select("scenario", "columns", "schema_matches", "rows", "malicious")
+
+
+@query(FLOWS + "SELECT DISTINCT scenario AS dataset, row_number() OVER (ORDER BY CAST(regexp_extract(scenario, '[0-9]+') AS INT)) AS place FROM (SELECT DISTINCT scenario FROM f)")
+def natural_order(spark, d):
+    names = _lines(spark, d).select(F.col("scenario").alias("dataset")).distinct()
+    return names.select("dataset", F.row_number().over(Window.orderBy(flowlog.scenario_order(F.col("dataset")))).cast("long").alias("place"))
+
+
+def _odd_lines(spark, d) -> DataFrame:
+    """Lines of which some lack a time, a field or a label, or have a field with spaces."""
+    e, v = F.col("event_id"), F.col("value")
+    odd = F.when(e % 17 == 0, F.regexp_replace(v, "^[^,]*", "-")).when(e % 19 == 0, F.concat(v, F.lit(",x"))).when(e % 23 == 0, F.regexp_replace(v, "(?i)benign|malicious", "unclear"))
+    return _lines(spark, d).withColumn("value", odd.when(e % 29 == 0, F.regexp_replace(v, ",(click|view),", ", $1 ,")).otherwise(v)).drop("event_id")
+
+
+_REASON = "CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN 'invalid row structure' WHEN event_id % 23 = 0 THEN 'invalid binary label' END"
+
+
+@query(FLOWS + f"""SELECT scenario, row_seq, {_REASON} IS NOT NULL AS malformed, CASE WHEN event_id % 17 = 0 OR {_REASON} = 'invalid row structure' THEN CAST(row_seq AS DOUBLE) ELSE round(ts, 6) END AS ts,
+  CASE WHEN {_REASON} = 'invalid row structure' THEN NULL ELSE proto END AS proto, CASE WHEN {_REASON} IS NULL THEN label END AS label FROM f""")
+def parse_permissive(spark, d):
+    p = flowlog.parse(_odd_lines(spark, d), strict=False)
+    return p.select("scenario", "row_seq", "malformed", _r("ts"), "proto", F.col("label").cast("int").alias("label"))
+
+
+@query(FLOWS + f"SELECT scenario, row_seq, {_REASON} AS reason FROM f WHERE {_REASON} IS NOT NULL")
+def rejected_lines(spark, d):
+    return flowlog.rejects(_odd_lines(spark, d)).select("scenario", "row_seq", "reason")
+
+
+@query(FLOWS + "SELECT CASE scenario WHEN 'dataset23.csv' THEN 'test' WHEN 'dataset12.csv' THEN 'validation' ELSE 'train' END AS partition, count(DISTINCT scenario) AS scenarios, count(*) AS rows, sum(1 - label)::BIGINT AS benign, sum(label)::BIGINT AS malicious, least(sum(1 - label), sum(label))::BIGINT AS balanced FROM f GROUP BY 1")
+def split_totals(spark, d):
+    p = profile.scenarios(_lines(spark, d)).withColumnRenamed("scenario", "dataset")
+    return sampling.split_totals(sampling.scenario_split(p))
+
+
+@query(FLOWS + "SELECT scenario, count(*) AS rows, sum(label)::BIGINT AS malicious, count(*) FILTER (label = 0)::DOUBLE AS benign_indicators FROM f GROUP BY scenario")
+def batch_callback(spark, d):
+    """A callback over batches of encoded rows; here it counts."""
+    flows = _flows(spark, d)
+    x = encode.transform(flows, encode.fit(_train(flows), "baseline"))
+    count = lambda x, y, scenario: {"scenario": [scenario], "rows": [len(x)], "malicious": [int(y.sum())], "benign_indicators": [float((y == 0).sum())]}
+    found = encode.each_batch(x, count, "scenario string, rows long, malicious long, benign_indicators double", 64)
+    return found.groupBy("scenario").agg(*[F.sum(c).alias(c) for c in ("rows", "malicious", "benign_indicators")])
+
+
+_RIDGE = HIDDEN.replace("WITH h", "WITH h0_", 1).replace("FROM embeddings)", "FROM embeddings), h AS (SELECT * FROM h0_)")
+
+
+@query(_RIDGE + """, g AS (SELECT sum(h0 * h0) + 0.01 AS a, sum(h0 * h1) AS b, sum(h1 * h1) + 0.01 AS c, sum(h0) FILTER (label < 5) AS p0, sum(h1) FILTER (label < 5) AS q0, sum(h0) FILTER (label >= 5) AS p1, sum(h1) FILTER (label >= 5) AS q1 FROM h)
+SELECT 0 AS unit, round((c * p0 - b * q0) / (a * c - b * b), 6) AS low, round((c * p1 - b * q1) / (a * c - b * b), 6) AS high FROM g
+UNION ALL SELECT 1, round((a * q0 - b * p0) / (a * c - b * b), 6), round((a * q1 - b * p1) / (a * c - b * b), 6) FROM g""")
+def ridge_readout(spark, d):
+    """The readout of two hidden units with given weights, against Cramer's rule."""
+    m = classifier.RandomFeatureClassifier(2, weights=np.array(WEIGHTS[:2]).T, biases=np.array(BIASES[:2]))
+    df = _t(spark, d, "embeddings").select("embedding", (F.col("label") >= 5).cast("int").alias("y"))
+    beta = m.fit(df, "embedding", "y", classes=[0, 1]).readout
+    return spark.createDataFrame([(i, float(beta[i, 0]), float(beta[i, 1])) for i in range(2)], "unit int, low double, high double").select("unit", _r("low"), _r("high"))
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (NOT t AND NOT p) AS tn, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (t AND p) AS tp FROM (SELECT l_returnflag = 'R' AS t, l_discount >= 0.05 AS p FROM lineitem))
+SELECT u.metric, round(u.value, 6) AS value FROM (SELECT unnest([{'metric': 'accuracy', 'value': (tp + tn) / (tp + tn + fp + fn)::DOUBLE}, {'metric': 'precision', 'value': tp / (tp + fp)::DOUBLE}, {'metric': 'recall', 'value': tp / (tp + fn)::DOUBLE}, {'metric': 'specificity', 'value': tn / (tn + fp)::DOUBLE}, {'metric': 'f1', 'value': 2.0 * tp / (2 * tp + fp + fn)}]) AS u FROM c)""")
+def metrics_long(spark, d):
+    df = _t(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("t"), (F.col("l_discount") >= 0.05).cast("int").alias("p"))
+    return evaluate.long_form(evaluate.metrics(evaluate.confusion(df, "t", "p"))).select("metric", _r("value"))
+
+
+def _csv(spark, d) -> str:
+    folder = fresh_folder(spark, "csv")
+    _t(spark, d, "part").select("p_partkey", "p_retailprice", "p_brand", "p_size").write.option("header", True).csv(folder)
+    return folder
+
+
+@query("SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, round(p_retailprice, 6) AS p_retailprice, p_brand, CAST(p_size AS DOUBLE) AS p_size FROM part")
+def load_dataset(spark, d):
+    """A dataset read back from CSV, its target in the middle."""
+    df, features, target = delimited.load_dataset(spark, _csv(spark, d), "p_brand")
+    return df.select(*features, target).withColumn("p_retailprice", F.round("p_retailprice", 6))
+
+
+@query("SELECT * FROM (VALUES ('p_partkey', 'int'), ('p_retailprice', 'double'), ('p_brand', 'string'), ('p_size', 'int')) t(\"column\", type)")
+def inferred_schema(spark, d):
+    _, types = delimited.inferred_schema(spark, _csv(spark, d))
+    return spark.createDataFrame([tuple(t.split("::")) for t in types.split(";")], "column string, type string")
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM lineitem" for c in ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")) + ")")
+def numeric_summary(spark, d):
+    told = delimited.describe(_t(spark, d, "lineitem").select("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"))
+    return told.where("mean is not null").select("column", _r("mean", 4), "min", "max")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) <= (SELECT round_even(count(*) * 0.2, 0) FROM orders) AS is_test FROM orders")
+def train_test_split_ordered(spark, d):
+    return sampling.train_test_split(_t(spark, d, "orders").select("o_orderkey"), "o_orderkey", shuffle=False)
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows, CAST(round_even(count(*) * 0.2, 0) AS BIGINT) AS test_rows, count(DISTINCT o_orderkey) AS orders FROM orders")
+def train_test_split_repeated(spark, d):
+    """Rows that share an id: as many test rows are due as without."""
+    got = sampling.train_test_split(_t(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey")
+    return got.agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("test_rows"), F.count_distinct("o_orderkey").alias("orders"))
 
 
 def settings_for(spark, d) -> pipeline.Settings:

@@ -4,8 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.flow import number, stripped
+from .shared import listed
+
+
+def list_csv(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the files of a folder that end in .csv, in any case, sorted. ValueError if none."""
+    found = [p for p in listed(spark, folder, "*") if p.lower().endswith(".csv")]
+    if not found:
+        raise ValueError(f"no CSV file in {folder}")
+    return found
 
 
 def load_dataset(spark: SparkSession, path: str, target: str | int = "last", delimiter: str = ",", header: bool = True) -> tuple[DataFrame, list[str], str]:
@@ -54,13 +64,23 @@ def load_dataset(spark: SparkSession, path: str, target: str | int = "last", del
 def inferred_schema(spark: SparkSession, path: str, rows: int = 10_000) -> tuple[list[str], str]:
     """Column names, and ``name::type;...`` as inferred from the first ``rows`` rows: the
     sample is what is asked for."""
-    lines = spark.read.text(path).limit(rows + 1)
-    sample = spark.read.option("header", True).option("inferSchema", True).csv(lines.rdd.map(lambda r: r.value))
+    lines = getattr(spark.read.text(path).limit(rows + 1)._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    sample = DataFrame(spark.read.option("header", True).option("inferSchema", True)._jreader.csv(lines), spark)
     return sample.columns, ";".join(f"{n}::{t}" for n, t in sample.dtypes)
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """``column``, ``type``, ``rows`` and ``nulls`` of each column."""
-    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("rows"), F.col(f"n{i}").alias("nulls")) for i, (c, t) in enumerate(df.dtypes)])
+    """``column``, ``type``, ``rows`` and ``nulls`` of each column, and ``mean``, ``min`` and ``max``
+    of numeric ones."""
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
+    sums = lambda i, c: [f(F.col(f"`{c}`").cast("double") if c in numeric else F.lit(None).cast("double")).alias(f"{k}{i}") for k, f in (("a", F.avg), ("l", F.min), ("h", F.max))]
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[x for i, c in enumerate(df.columns) for x in (F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}"), *sums(i, c))])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("rows"), F.col(f"n{i}").alias("nulls"), F.col(f"a{i}").alias("mean"), F.col(f"l{i}").alias("min"), F.col(f"h{i}").alias("max")) for i, (c, t) in enumerate(df.dtypes)])
     return counts.select(F.explode(pairs).alias("c")).select("c.*")
+
+
+def inspect(spark: SparkSession, folder: str, rows: int = 5) -> tuple[str, DataFrame, DataFrame]:
+    """Of the first CSV file of a folder its path, ``describe`` and its first rows."""
+    path = list_csv(spark, folder)[0]
+    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return path, describe(df), df.limit(rows)

@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import flow
+from .shared import listed, removed, renamed
 
 
 def list_scenarios(spark: SparkSession, folder: str, pattern: str = "dataset*.csv", expected: int | None = None) -> list[str]:
     """Paths of the scenario files of a folder in the order of their numbers, through Hadoop's
     file systems. Files that aren't named dataset<n>.csv are left out."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
-    names = spark.createDataFrame([(str(f.getPath()),) for f in found], "path string")
+    names = spark.createDataFrame([(path,) for path in listed(spark, folder, pattern)], "path string")
     number = F.regexp_extract("path", r"dataset(\d+)\.csv$", 1)
     out = [r.path for r in names.where(number != "").orderBy(number.cast("long"), "path").collect()]
     if expected is not None and len(out) != expected:
@@ -32,8 +30,9 @@ def scan(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """``scenario`` (file name), ``row_seq`` (1 for the first line after the header) and
     ``value`` of each line; ``size_bytes`` of the file. A file must begin with the header.
 
-    Lines are numbered without a shuffle of their texts: each input split counts its own, and
-    the splits' sums, a row for each, are added.
+    Lines are numbered without a shuffle or a join: each input split counts its own, the splits'
+    sums, a row for each, are added in a scalar subquery, and a line looks up its split there by
+    the number of its task.
     """
     raw = spark.read.option("lineSep", "\n").text(paths)
     at = raw.select(
@@ -44,10 +43,16 @@ def scan(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("mid"),
     )
-    blocks = at.groupBy("path", "block").agg(F.min("mid").alias("first"), F.count(F.lit(1)).alias("n"))
+    splits = at.groupBy("path", "block").agg(F.min("mid").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = blocks.select("path", "block", "first", before.alias("before"))
-    rows = at.join(offsets, ["path", "block"]).withColumn("row_seq", F.col("before") + F.col("mid") - F.col("first"))
+    task = lambda c: F.shiftright(c, 33).cast("int")  # noqa: E731  # the number of the task that gave a row its id
+    shifts = splits.select("first", before.alias("before")).select(task("first").alias("task"), F.struct("first", (F.col("before") - F.col("first")).alias("shift")).alias("s"))
+    by_task = shifts.groupBy("task").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    every = shifts.agg(F.max("task").alias("last")).select(F.explode(F.sequence(F.lit(0), "last")).alias("task"))
+    table = every.join(by_task, "task", "left").agg(F.array_sort(F.collect_list(F.struct("task", "s"))).alias("t"))
+    at = at.withColumn("splits", F.get(table.select(F.transform("t", lambda x: x["s"])).scalar(), task("mid")))
+    own = F.element_at(F.filter("splits", lambda s: s["first"] <= F.col("mid")), -1)
+    rows = at.withColumn("row_seq", F.col("mid") + own["shift"])
     wrong = (F.col("row_seq") == 0) & (F.col("value") != flow.HEADER)
     checked = F.when(wrong, F.raise_error(F.concat(F.lit("unexpected header in "), "scenario"))).otherwise(F.col("value"))
     return rows.select("scenario", "row_seq", checked.alias("value"), "size_bytes").where("row_seq > 0 or value is null")
@@ -77,10 +82,11 @@ def parse(lines: DataFrame, strict: bool = True, need_label: bool = True) -> Dat
     Strict: a line without exactly 21 fields, or without a binary label if one is needed,
     raises. Otherwise such lines stay, with ``malformed`` set and nulls for what can't be read.
     """
-    p = parts(lines)
     whole = F.size("parts") == len(flow.FIELDS)
     field = lambda name: F.when(whole, F.get("parts", flow.FIELDS.index(name)))
-    label = flow.binary_label(field(flow.FIELDS[-1]))
+    p = parts(lines).withColumn("label parts", flow.label_parts(field(flow.FIELDS[-1])))
+    p = p.withColumn("label", flow.binary_of(F.col("label parts")))
+    label = F.col("label")
     malformed = ~whole | label.isNull() if need_label else ~whole
     if strict:
         bad = F.when(~whole, F.raise_error(F.concat(F.lit("invalid row structure in "), "scenario")).cast("boolean"))
@@ -99,11 +105,33 @@ def parse(lines: DataFrame, strict: bool = True, need_label: bool = True) -> Dat
         *[flow.stripped(field(n)).alias(n) for n in flow.CATEGORIES],
         flow.port_bucket(field("id.resp_p")).alias("id.resp_p"),
         label.alias("label"),
-        F.get(flow.label_parts(field(flow.FIELDS[-1])), 2).alias("detailed_label"),
+        F.get("label parts", 2).alias("detailed_label"),
         malformed.alias("malformed"),
     )
 
 
+def rejects(lines: DataFrame) -> DataFrame:
+    """``scenario``, ``row_seq``, ``value`` and ``reason`` of the lines that strict parsing refuses."""
+    whole = F.size("parts") == len(flow.FIELDS)
+    label = flow.binary_label(F.when(whole, F.element_at("parts", -1)))
+    reason = F.when(~whole, "invalid row structure").when(label.isNull(), "invalid binary label")
+    return parts(lines).select("scenario", "row_seq", "value", reason.alias("reason")).where("reason is not null")
+
+
+def write_scenarios(lines: DataFrame, folder: str) -> list[str]:
+    """Write ``lines`` (scenario, row_seq, value) of 21 fields as one file for each scenario, the
+    header first, lines by row_seq; their paths. A scenario's lines go through one task."""
+    spark = lines.sparkSession
+    fields = [F.get("parts", i).alias(n) for i, n in enumerate(flow.FIELDS)]
+    dealt = parts(lines).repartition("scenario").sortWithinPartitions("scenario", "row_seq")
+    plain = {"header": True, "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quote": "\u0000"}
+    dealt.select(F.col("scenario").alias("of file"), *fields).write.partitionBy("of file").options(**plain).csv(f"{folder}/written")
+    for path in listed(spark, f"{folder}/written", "of file=*/*.csv"):
+        renamed(spark, path, f"{folder}/{path.split('of file=')[1].split('/')[0]}")
+    removed(spark, f"{folder}/written")
+    return list_scenarios(spark, folder)
+
+
 def from_events(events: DataFrame) -> DataFrame:
     """Flow-log lines made of the ``events`` test table: scenario, row_seq, value."""
     k = F.regexp_extract("props", r"(\d+)", 1)

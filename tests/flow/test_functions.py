@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from flowlearn.functions import flow
 from flowlearn.operators import encode, profile
-from flowlearn.sources import delimited, flowlog
+from flowlearn.sources import delimited, flowlog, shared
 
 
 def row(proto="tcp", service="dns", duration="1.0", state="SF", label="-   benign   -", ts="1.0", port="80", history="Dd"):
@@ -151,3 +151,61 @@ def test_load_dataset(spark, tmp_path):
         with pytest.raises(ValueError):
             delimited.load_dataset(spark, str(tmp_path / name))
     assert delimited.inferred_schema(spark, str(p)) == (["f1", "f2", "label"], "f1::double;f2::double;label::string")
+
+
+def test_scan_shuffles_no_text(spark, tmp_path):
+    """Line numbers come from a scalar subquery: the plan of the lines has no exchange or join."""
+    for k in (1, 2, 3):
+        (tmp_path / f"dataset{k}.csv").write_text(flow.HEADER + "\n" + "".join(f"{i},{TRAIN[0].split(',', 1)[1]}\n" for i in range(1, 41)))
+    lines = flowlog.scan(spark, flowlog.list_scenarios(spark, f"file://{tmp_path}"))
+    plan = lines._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert "Exchange" not in plan and "Join" not in plan
+    assert all(int(r.value.split(",")[0]) == r.row_seq for r in lines.collect()) and lines.count() == 120
+
+
+def test_written_scenarios_and_rejects(spark, tmp_path):
+    rows = [("dataset2.csv", i, TRAIN[i % 2]) for i in range(1, 6)] + [("dataset10.csv", 1, TRAIN[0])]
+    lines = spark.createDataFrame(rows, "scenario string, row_seq long, value string")
+    paths = flowlog.write_scenarios(lines, f"file://{tmp_path}/out")
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["dataset2.csv", "dataset10.csv"]
+    assert sorted((r.scenario, r.row_seq, r.value) for r in flowlog.scan(spark, paths).collect()) == sorted(rows)
+    p = {r.scenario: r for r in profile.files(spark, paths).collect()}["dataset2.csv"]
+    assert (p.columns, p.schema_matches, p.rows) == (21, True, 5) and p.size_bytes == (tmp_path / "out/dataset2.csv").stat().st_size and p.elapsed_seconds > 0 and "uid::" in p.inferred_types
+    bad = spark.createDataFrame([("d", 1, TRAIN[0]), ("d", 2, TRAIN[0] + ",x"), ("d", 3, row(label="-   BENIGN   -"))], "scenario string, row_seq long, value string")
+    assert [(r.row_seq, r.reason) for r in flowlog.rejects(bad).orderBy("row_seq").collect()] == [(2, "invalid row structure"), (3, "invalid binary label")]
+
+
+def test_csv_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "b.CSV").write_text("x,y\n1,a\n2,b\n,c\n")
+    (tmp_path / "c.csv").write_text("x\n1\n")
+    (tmp_path / "a.txt").write_text("x\n")
+    assert [p.rsplit("/", 1)[1] for p in delimited.list_csv(spark, f"file://{tmp_path}")] == ["b.CSV", "c.csv"]
+    path, about, head = delimited.inspect(spark, f"file://{tmp_path}", 2)
+    x, y = sorted(about.collect(), key=lambda r: r.column)
+    assert path.endswith("b.CSV") and head.count() == 2 and (x.nulls, x["mean"], x["min"], x["max"]) == (1, 1.5, 1, 2) and y["mean"] is None
+    with pytest.raises(ValueError):
+        delimited.list_csv(spark, f"file://{tmp_path}/none")
+
+
+def test_encoder_versions(spark, tmp_path):
+    import json
+
+    (tmp_path / "new.json").write_text(json.dumps({"format_version": 99, "numerics": []}))
+    with pytest.raises(ValueError, match="incompatible"):
+        encode.Encoder.load(str(tmp_path / "new.json"))
+    assert encode.Encoder.load(encode.Encoder("baseline", [], [], [], [], [], []).save(f"file://{tmp_path}/a/b.json")).representation == "baseline"
+
+
+def test_vocabularies_are_bounded(monkeypatch, spark, files):
+    monkeypatch.setattr(encode, "MAX_VOCABULARY", 1)
+    with pytest.raises(ValueError, match="more than 1 values"):
+        encode.fit(flowlog.parse(flowlog.scan(spark, [f"file://{files}/dataset1.csv"])))
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session)

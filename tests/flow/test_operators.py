@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlearn.operators import classifier, evaluate, sampling, scaling
+from flowlearn.operators import classifier, encode, evaluate, sampling, scaling
 from flowlearn.operators.windows import host_windows
 from flowlearn.plans import experiments, pipeline, queries
+from flowlearn.sources import shared
 from flowlearn.streaming import host_windows as streamed
 
 STATS = ["win_flow_count", "win_unique_resp_p", "win_unique_resp_h", "win_same_port_ratio"]
@@ -256,3 +257,99 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("FLOWLEARN_WINDOW_BEFORE_SAMPLE", "true")
     s = pipeline.Settings.from_env()
     assert (s.hidden, s.minimum_validation_recall, s.window_before_sample, s.seed) == (99, 0.5, True, 42)
+
+
+def one_host(spark, rows, parts=5):
+    df = spark.createDataFrame([("s", "h0", i, float(t), h, p) for i, (t, h, p) in enumerate(rows, 1)], "scenario string, orig_h string, row_seq long, ts double, resp_h string, resp_p string")
+    return df.repartition(parts)
+
+
+@pytest.mark.parametrize("mode", ["frame", "exact", "auto"])
+def test_one_host_with_all_rows_is_cut_into_ranges(spark, mode):
+    rng, t, rows = random.Random(8), 0.0, []
+    for _ in range(3000):
+        t += rng.choice([0, 0, 1, 5, 200])
+        rows.append((t, rng.choice("abc"), rng.choice("1234")))
+    got = host_windows(one_host(spark, rows), mode=mode, range_rows=130)
+    assert [tuple(r[c] for c in STATS) for r in got.orderBy("row_seq").collect()] == fold(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "range#" in plan and got.columns == ["scenario", "orig_h", "row_seq", "ts", "resp_h", "resp_p", *STATS]
+
+
+def test_ranges_keep_hosts_whose_time_runs_backwards(spark):
+    rng = random.Random(9)
+    rows = [(i + rng.uniform(-90, 90), rng.choice("ab"), rng.choice("123")) for i in range(900)]
+    got = host_windows(one_host(spark, rows), history=7, range_rows=50)
+    assert [tuple(r[c] for c in STATS) for r in got.orderBy("row_seq").collect()] == fold(rows, history=7)
+    # Backwards only across the seam of two ranges, and sparse hosts that skip ranges.
+    rows = [(float(i), "a", "1") for i in range(100)] + [(10.0, "a", "1")] + [(200.0 + i, "a", "2") for i in range(99)]
+    assert [tuple(r[c] for c in STATS) for r in host_windows(one_host(spark, rows), range_rows=100).orderBy("row_seq").collect()] == fold(rows)
+    sparse = one_host(spark, rows[:100]).withColumn("row_seq", F.col("row_seq") * 37)
+    assert [tuple(r[c] for c in STATS) for r in host_windows(sparse, range_rows=50).orderBy("row_seq").collect()] == fold(rows[:100])
+
+
+def test_split_deals_rows_not_ids(spark):
+    df = spark.createDataFrame([(i // 4, f"r{i}") for i in range(20)] + [(9, "same")] * 5, "id long, v string")
+    for shuffle in (True, False):
+        got = sampling.train_test_split(df, "id", 0.2, shuffle=shuffle)
+        assert got.count() == 25 and got.where("is_test").count() == 5
+        assert sorted(r.v for r in got.collect()) == sorted(r.v for r in df.collect())
+        assert {(r.id, r.v) for r in got.where("is_test").collect()} == {(r.id, r.v) for r in sampling.train_test_split(df.repartition(3), "id", 0.2, shuffle=shuffle).where("is_test").collect()}
+
+
+def test_bins_follow_the_rows(monkeypatch, spark):
+    assert [sampling._digits(n) for n in (1, 10_000, 10_001, 10**12)] == [1, 1, 1, 7]
+    monkeypatch.setattr(sampling, "BIN_ROWS", 3)
+    test_exact_sample(spark)
+    test_split(spark)
+
+
+def test_plan_order(spark):
+    plan = sampling.balanced_plan(["dataset2.csv", "dataset10.csv"], [1, 1], [1, 1], 1)
+    plan.check_order(["hdfs:///x/dataset2.csv", "hdfs:///x/dataset10.csv"])
+    with pytest.raises(ValueError, match="the plan is for"):
+        plan.check_order(["hdfs:///x/dataset10.csv", "hdfs:///x/dataset2.csv"])
+
+
+def test_batches(spark):
+    rows = [(s, i, [float(i), 1.0], i % 2) for s, n in (("a", 23), ("b", 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "scenario string, row_seq long, features array<float>, label byte").repartition(4)
+    told = encode.each_batch(df, lambda x, y, s: {"s": [s], "n": [len(x)], "sum": [float(x[:, 0].sum())], "ones": [int(y.sum())]}, "s string, n long, sum double, ones long", 4).collect()
+    assert all(r.n <= 4 for r in told)
+    for s, n in (("a", 23), ("b", 5)):
+        own = [r for r in told if r.s == s]
+        assert (sum(r.n for r in own), sum(r["sum"] for r in own), sum(r.ones for r in own)) == (n, n * (n - 1) / 2, n // 2)
+    assert encode.each_batch(df, lambda x, y, s: None, "s string").count() == 0
+    with pytest.raises(ValueError):
+        encode.each_batch(df, len, "s string", 0)
+
+
+def test_resumed_run(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    lines = queries._lines(spark, d).drop("event_id").persist()
+    s = queries.settings_for(spark, d)
+    s.window_before_sample = True
+    prepared = pipeline.prepare(lines, s, representations=["behavioral"])
+    done = pipeline.train(lines, prepared, s)
+    pipeline.publish(done, prepared, f"file://{tmp_path}/out")
+    assert len(done.summary.columns) == 21 and done.summary.first().validation_sampled_rows == 2 * done.summary.first().validation_target_per_class
+    folder = prepared.folder
+    prepared.close()
+    assert not shared.listed(spark, folder, "*") and prepared.flows is None
+    again = pipeline.resume(spark, f"file://{tmp_path}/out")
+    assert again.split.collect() == prepared.split.collect() and again.encoders == prepared.encoders
+    assert sorted(again.profile.collect()) == sorted(prepared.profile.collect()) and again.profile.dtypes == prepared.profile.dtypes
+    assert sorted(again.details.collect()) == sorted(prepared.details.collect()) and again.details.count() > 23
+    other = pipeline.train(lines, again, s)
+    assert other.test.collect() == done.test.collect() and math.isclose(other.threshold, done.threshold, rel_tol=1e-6)  # sums of doubles differ by their order
+    lines.unpersist()
+
+
+def test_element_types(spark, tmp_path):
+    df = spark.createDataFrame(POINTS, "x array<double>, y string")
+    m = classifier.RandomFeatureClassifier(20, seed=7, element="float").fit(df, "x", "y")
+    assert m.weights.dtype == m.readout.dtype == np.float32
+    assert [r.predicted for r in m.predict(df, "x").collect()] == [y for _, y in POINTS]
+    assert classifier.RandomFeatureClassifier.load(m.save(f"file://{tmp_path}/m.npz")).weights.dtype == np.float32
+    with pytest.raises(ValueError):
+        classifier.RandomFeatureClassifier(4, element="half")
