@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .base import Memo, shared_dir
+from ..sources.shared import shared_dir
+from .base import Memo
 
 LENGTH, END_ID, PAD_ID = 2048, 2, 0
 #: Sequences of a record batch.
