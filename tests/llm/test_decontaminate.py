@@ -1,9 +1,10 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
-from flowlearn.llm.decontaminate import contamination, words
+from flowlearn.llm.decontaminate import Index, _bloom, _passing, contamination, words
 from flowlearn.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -65,3 +66,37 @@ def test_query_on_table(spark):
     got = {tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in QUERIES["op1_decontaminate"](spark, d).collect()}
     assert got == want
     assert any(x[-1] for x in got)
+
+
+def test_both_ways_at_the_limit(spark):
+    """A benchmark of the size of the limit is sent, one byte more is joined by shuffles."""
+    d = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    size = items.where("text is not null").selectExpr("sum(octet_length(text) + 32)").first()[0]
+    seen = []
+    for limit in (size, size - 1):
+        found = contamination(docs, items, broadcast_bytes=limit)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("Join" in plan) == (limit < size)
+        seen.append(sorted((r.doc_id, r.n_words, [(s.start, s.end) for s in r.spans], r["items"]) for r in found.collect()))
+    assert seen[0] == seen[1] and any(spans for _, _, spans, _ in seen[0])
+
+
+def test_index_memory():
+    """Bytes of an index for each byte of its benchmark, as the limit promises."""
+    import pickle
+    import random
+
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(30_000)]
+    items = [(str(i), " ".join(rng.choice(vocabulary) for _ in range(100))) for i in range(1500)]
+    index = Index(items, 10, 5)
+    index.choose({k: np.ones(len(c), dtype=np.int64) for k, c in index.shingles.items()})
+    assert len(pickle.dumps(index)) < 20 * sum(len(t) for _, t in items)
+
+
+def test_bloom_lets_every_code_pass(spark):
+    codes = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 200_000, dtype=np.int64)
+    bloom = _bloom(spark.createDataFrame([(int(c),) for c in codes[:100_000]], "code long").repartition(3))
+    assert len(_passing(codes[:100_000].view(np.uint64), bloom)) == 100_000
+    assert len(_passing(codes[100_000:].view(np.uint64), bloom)) < 2_000
