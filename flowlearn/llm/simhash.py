@@ -8,10 +8,10 @@ The join works on distinct fingerprints. The 64 bits are cut into blocks; two fi
 that differ in at most ``budget`` bits agree in at least ``blocks - budget`` of them, so all
 that agree in one such choice of blocks form a bucket, and no link crosses all buckets. The
 number of blocks follows the number of fingerprints, so that the mean bucket is small at any
-size. In each bucket a binary trie is joined with itself: pairs of nodes descend together,
-differing bits add up, and a pair is dropped as soon as they exceed the budget. A bucket
-beyond ``bucket_rows`` is dealt out by pairs of trie prefixes within the budget. From each
-bucket only its spanning stars go on, never its pairs; these join into components.
+size. A bucket beyond ``bucket_rows`` is split in the same way by those bits that divide its
+members best, again and again. In each bucket a binary trie is joined with itself: pairs of
+nodes descend together, differing bits add up, and a pair is dropped as soon as they exceed the
+budget. From each bucket only its spanning stars go on, never its pairs; these join into components.
 
 Defined results: a null text is the empty text, whose fingerprint is zero and links like any
 other; repeated rows share a class; a class whose document ids are all null has a null
@@ -26,15 +26,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import cut, map_text
 from .components import brought_back, components, least_of, salted
 
 BUDGET, SHINGLE, SEED = 3, 3, 42
-#: A bucket of more fingerprints is split by trie prefixes of so many bits.
-BUCKET_ROWS, PREFIX_BITS = 8192, 6
+#: A bucket of more fingerprints is split by so many bits, and what is left large again, at most
+#: so often: members of one that stays large differ in few bits, and a task joins them as they are.
+BUCKET_ROWS, SPLIT_BITS, SPLITS = 8192, 32, 3
 #: The mean bucket has at most about so many fingerprints.
 MEAN_BUCKET = 512
 #: Pairs of trie nodes, and fingerprints, that a task holds at once (a whole bucket at least).
@@ -137,11 +138,11 @@ def _stars(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Record
     for b in batches:
         if not b.num_rows:
             continue
-        t, key, part, fp = (np.asarray(b.column(k).to_numpy(zero_copy_only=False)) for k in range(4))
+        t, key, fp = (np.asarray(b.column(k).to_numpy(zero_copy_only=False)) for k in range(3))
         new = np.ones(len(t), dtype=bool)
-        new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-        new[0] = last != (t[0], key[0], part[0])
-        last = (t[-1], key[-1], part[-1])
+        new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
+        new[0] = last != (t[0], key[0])
+        last = (t[-1], key[-1])
         groups = seen + np.cumsum(new)
         seen = int(groups[-1])
         fps = fp.astype(np.int64).view(np.uint64)
@@ -169,6 +170,28 @@ def tables(n: int, budget: int = BUDGET, mean: int = MEAN_BUCKET) -> list[list[t
     return chosen
 
 
+def _bit(name: str, at) -> Column:
+    return F.shiftrightunsigned(name, at).bitwiseAND(F.lit(1).cast("long"))
+
+
+def _split(large: DataFrame, budget: int) -> DataFrame:
+    """The members of large buckets in smaller ones. A bucket's ``SPLIT_BITS`` most even bits are
+    dealt into ``budget`` + 1 blocks; what links agrees in one block at least, so a member goes
+    to a bucket for each block. Bits are counted anew for each bucket, whatever its members share."""
+    ones = large.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(_bit("fp", i)).alias(f"b{i}") for i in range(64)])
+    evenness = F.array(*[F.struct(F.least(F.col(f"b{i}"), F.col("n") - F.col(f"b{i}")).alias("even"), F.lit(i).alias("bit")) for i in range(64)])
+    bits = ones.select("t", "key", F.slice(F.reverse(F.array_sort(evenness)), 1, SPLIT_BITS).alias("bits"))
+    per = SPLIT_BITS // (budget + 1)
+    value = lambda block: F.concat_ws("", *[_bit_at(block + j * (budget + 1)) for j in range(per)])
+    blocks = F.array(*[F.xxhash64("key", F.lit(k), value(k)) for k in range(budget + 1)])
+    return large.join(bits, ["t", "key"]).select("t", F.explode(blocks).alias("key"), "fp")
+
+
+def _bit_at(k: int) -> Column:
+    """The bit of ``fp`` at the k-th of ``bits``, as text."""
+    return F.substring(F.lpad(F.bin("fp"), 64, "0"), F.lit(64) - F.get("bits", k)["bit"], F.lit(1))
+
+
 def links(fps: DataFrame, n: int, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS, mean: int = MEAN_BUCKET) -> DataFrame:
     """Edges (a, b) that connect the same distinct fingerprints as all links do."""
     keyed = []
@@ -177,15 +200,17 @@ def links(fps: DataFrame, n: int, budget: int = BUDGET, bucket_rows: int = BUCKE
         for low, width in parts:
             key = key + F.shiftleft(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long")), taken)
             taken += width
-        free = next(b for b in range(0, 64, PREFIX_BITS) if all(b + PREFIX_BITS <= low or b >= low + width for low, width in parts))
-        keyed.append(F.struct(F.lit(t).alias("t"), key.alias("key"), F.shiftrightunsigned("fp", free).bitwiseAND(F.lit((1 << PREFIX_BITS) - 1).cast("long")).cast("int").alias("prefix")))
-    dealt = fps.select("fp", F.explode(F.array(*keyed)).alias("k")).select("k.*", "fp")
-    large = dealt.groupBy("t", "key").count().where(F.col("count") > bucket_rows).select("t", "key", F.lit(True).alias("large"))
-    near = [m for m in range(1 << PREFIX_BITS) if m.bit_count() <= budget]
-    p = F.col("prefix")
-    pairs = F.transform(F.array(*map(F.lit, near)), lambda m: F.least(p, p.bitwiseXOR(m)) * (1 << PREFIX_BITS) + F.greatest(p, p.bitwiseXOR(m)))
-    dealt = dealt.join(large, ["t", "key"], "left").select("t", "key", F.explode(F.when(F.col("large"), pairs).otherwise(F.array(F.lit(-1)))).alias("part"), "fp")
-    dealt = dealt.repartition("t", "key", "part").sortWithinPartitions("t", "key", "part")
+        keyed.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
+    dealt, done = fps.select("fp", F.explode(F.array(*keyed)).alias("k")).select("k.*", "fp"), None
+    for _ in range(SPLITS):
+        large = cut(dealt.groupBy("t", "key").count().where(F.col("count") > bucket_rows).select("t", "key"))
+        if large.isEmpty():
+            break
+        small = dealt.join(large, ["t", "key"], "left_anti")
+        done = small if done is None else done.unionByName(small)
+        dealt = _split(dealt.join(large, ["t", "key"], "left_semi"), budget)
+    dealt = dealt if done is None else done.unionByName(dealt)
+    dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key")
     return dealt.mapInArrow(lambda batches: _stars(batches, budget), "a long, b long")
 
 

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from flowlearn.llm.components import components
 from flowlearn.llm.queries import QUERIES
+from flowlearn.llm import simhash
 from flowlearn.llm.simhash import fingerprint, near_duplicates, representatives, tables, trie_classes
 
 
@@ -122,3 +123,36 @@ def test_rows_that_share_an_id_but_not_the_class(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int").repartition(3)
     got = sorted((r.doc_id, r.text) for r in representatives(df).collect())
     assert got == sorted([(1, a), (1, b), (2, c), (3, "x y z")])
+
+
+def test_buckets_whose_members_share_bits(spark):
+    """Fingerprints that agree in most bits, as those of templates do, are split by the others."""
+    rng = np.random.default_rng(5)
+    free = [3, 9, 17, 20, 22, 31, 33, 40, 41, 47, 50, 52, 55, 58, 60, 61, 62, 63]
+    values = sorted({sum(1 << b for b in free if rng.random() < 0.5) for _ in range(1500)})
+    fps = spark.createDataFrame([(v - (v >> 63 << 64),) for v in values], "fp long")
+    edges = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.links(fps, len(values), bucket_rows=100).collect()]
+    assert all((a ^ b).bit_count() <= 3 * 40 for a, b in edges)
+    place = {v: i for i, v in enumerate(values)}
+    mine, want = list(range(len(values))), list(range(len(values)))
+
+    def joined(parent, pairs):
+        def top(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in pairs:
+            a, b = top(a), top(b)
+            parent[max(a, b)] = min(a, b)
+        return [top(i) for i in range(len(parent))]
+
+    v = np.array(values, dtype=np.uint64)
+    near = np.argwhere(np.bitwise_count(v[:, None] ^ v[None, :]) <= 3)
+    assert joined(mine, [(place[a], place[b]) for a, b in edges]) == joined(want, near.tolist())
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i % 50_000}" for i in range(600_000))
+    df = spark.createDataFrame([(1, long), (2, long), (3, "x" * 3_000_000), (4, "short")], "doc_id long, text string")
+    assert {r.doc_id: r.component for r in near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
