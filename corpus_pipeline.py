@@ -5,19 +5,27 @@ each class stays), benchmark decontamination (documents that hold a benchmark
 window go), personal data (spans are replaced), byte-level BPE (ids, and the text decoded from
 them). Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``docs`` is what the
 stage before kept, written as parquet and read again.
+
+Defined results: null and empty texts are clean and stay (one of their near-duplicate class, as
+they share a fingerprint; null stays null until it is decoded, from no ids, as empty); rows without
+an id stay; of repeated rows one stays, and rows that share an id but not the class are judged
+each; ties go to the least id; texts of any length are handled whole; an empty table gives an
+empty one; columns beside those of ``documents`` are dropped first.
+
+The near-duplicate stage links as the operator does by default: three-word shingles, at most three
+of 64 bits. It finds exact copies and the closest of others; see the README for its reach.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlearn.llm import bpe, decontaminate, pii, simhash, toxicity
-from flowlearn.llm.base import bound_batches, shared_dir, table
+from flowlearn.llm.base import bound_batches, table
 from flowlearn.llm.queries import BYTE_RANKS
+from flowlearn.sources.shared import fresh_folder, removed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,12 +71,16 @@ STAGES = [("toxicity", reject_toxic), ("near_duplicates", drop_near_copies), ("d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written to the shared folder and read again; the
+    table of a stage goes once the next has been written, that of the last is the result."""
+    where, before = fresh_folder(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
         docs = spark.read.parquet(f"{where}/{name}")
+        if before:
+            removed(spark, f"{where}/{before}")
+        before = name
     return docs
 
 
