@@ -1,4 +1,11 @@
-"""The registered query of each training-data operator, over whole tables."""
+"""The registered query of each training-data operator, over whole tables.
+
+Defined results are those of the operators, as their modules state them. All queries give a row
+for each row of the table, so rows that are repeated, or share an id, are answered each (op9: in
+the order of the id, then of the text's hash); nulls, empty and very long texts are answered as
+their operator states; columns that the tables have besides are dropped first; an empty table
+gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -71,3 +71,16 @@ def test_run_and_odd_rows(spark, kept, tmp_path):
             stage(spark, d, f"file://{tmp_path}").write.parquet(f"file://{tmp_path}/{name}{k}")
             d = spark.read.parquet(f"file://{tmp_path}/{name}{k}")
         assert d.count() == (2 if name == "rows" else 0)
+
+
+def test_one_id_with_several_texts_and_a_very_long_one(spark, tmp_path):
+    """Rows that share an id are judged each; a text of a million words goes through all stages."""
+    long = " ".join(f"word{i % 70_000}" for i in range(1_000_000))
+    first, second = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    rows = [(1, first), (1, second), (2, first), (3, long), (4, second + " "), (5, "mail ann@example.org")]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{D}/{t}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{t}.parquet")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
+    assert got == {(1, first), (1, second), (3, long), (5, "mail [EMAIL]")}
