@@ -581,16 +581,16 @@ def train_test_split_repeated(spark, d):
     return got.agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("test_rows"), F.count_distinct("o_orderkey").alias("orders"))
 
 
-def settings_for(spark, d) -> pipeline.Settings:
+def settings_for(spark, d, lines: DataFrame | None = None) -> pipeline.Settings:
     """The defaults, with targets that the table can meet."""
-    flows = _flows(spark, d)
+    flows = flowlog.parse(_lines(spark, d) if lines is None else lines)
     n = _train(flows).where("label = 1").count()
     return pipeline.Settings(target_per_class=min(500_000, n), hidden=64, window_seconds=DAY, window_mode="frame", minimum_validation_specificity=0.5)
 
 
 @query()
 def pipeline_end_to_end(spark, d):
-    lines = _lines(spark, d).drop("event_id").persist()  # a dozen jobs read them
-    done = pipeline.run(lines, settings_for(spark, d))
+    lines = _lines(spark, d).drop("event_id").persist()  # read to count, to profile and to parse
+    done = pipeline.run(lines, settings_for(spark, d, lines))
     lines.unpersist()
     return done.test
