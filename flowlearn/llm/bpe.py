@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import ahocorasick
 import numpy as np
@@ -27,9 +28,27 @@ from pyspark.sql import DataFrame
 
 from .base import Memo, list_array, map_text
 
-#: A text in which a space follows white space is split by the pattern as a whole; in any
-#: other text each space starts a chunk whose matches don't depend on its neighbours.
-_AFTER_SPACE = regex.compile(r"\s ")
+#: A space after anything but white space starts a chunk whose matches don't depend on its
+#: neighbours. Most texts have no other spaces; those that have are split by the pattern below.
+_AFTER_SPACE, _CHUNK_START = re.compile(r"\s "), re.compile(r"(?<=\S) ")
+
+
+#: Remembered pairs of tokens.
+FITS_ENTRIES = 400_000
+
+
+class Fits(dict):
+    """Whether a token may follow another, by ``left * size + right``; begun afresh when full."""
+
+    def __init__(self, bpe: ByteBPE):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= FITS_ENTRIES:
+            self.clear()
+        known = self[pair] = self.bpe._fits(*divmod(pair, self.bpe.size))
+        return known
 
 
 class ByteBPE:
@@ -46,6 +65,7 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.length = [len(t) for t in self.bytes_of]
+        self.raw = [i.to_bytes(4, "little") for i in range(self.size)]
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -53,7 +73,7 @@ class ByteBPE:
         self.automaton.make_automaton()
         self.shorter = [self._longest_prefix(t) for t in self.bytes_of]
         self._read_merges()
-        self.fits = Memo(lambda pair: self._fits(*pair), 200_000)
+        self.fits = Fits(self)
         self.of_piece = Memo(self._piece_raw, 200_000)
         self.of_chunk = Memo(self._chunk)
 
@@ -106,17 +126,16 @@ class ByteBPE:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, length, fits, shorter = len(piece), self.length, self.fits, self.shorter
+        n, size, length, fits, shorter = len(piece), self.size, self.length, self.fits, self.shorter
         longest = [-1] * n
         for end, token in self.automaton.iter(piece.decode("latin-1")):
-            start = end + 1 - length[token]
-            if longest[start] < 0 or length[token] > length[longest[start]]:
-                longest[start] = token
+            longest[end + 1 - length[token]] = token  # of one start, later ends are longer
         alive = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
         at, token = 0, longest[0]
         while at < n:
-            while token >= 0 and not (alive[at + length[token]] and (not out or fits[out[-1], token])):
+            before = out[-1] * size if out else -1
+            while token >= 0 and not (alive[at + length[token]] and (before < 0 or fits[before + token])):
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
@@ -129,20 +148,22 @@ class ByteBPE:
         return out
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.of_piece[p] if len(p) < 64 else self._piece_raw(p) for p in self.pattern.findall(chunk)])
+        """Ids of a chunk, given without the space that it starts with."""
+        return self._pieces(" " + chunk)
+
+    def _pieces(self, text: str) -> bytes:
+        of = self.of_piece
+        return b"".join([of[p] for p in self.pattern.findall(text)])
 
     def encode_raw(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
-        if _AFTER_SPACE.search(text):
-            return self._chunk(text)
-        first, *rest = text.split(" ")
-        return b"".join([self._raw(first), *[self._raw(" " + c) for c in rest]])
-
-    def _raw(self, chunk: str) -> bytes:
-        return self.of_chunk[chunk] if len(chunk) < 64 else self._chunk(chunk)
+        first, *rest = _CHUNK_START.split(text) if _AFTER_SPACE.search(text) else text.split(" ")
+        of = self.of_chunk
+        return b"".join([self._pieces(first), *[of[c] for c in rest]])
 
     def _piece_raw(self, piece: str) -> bytes:
-        return np.array(self.encode_piece(piece.encode("utf-8", "surrogatepass")), dtype="<i4").tobytes()
+        raw = self.raw
+        return b"".join([raw[i] for i in self.encode_piece(piece.encode("utf-8", "surrogatepass"))])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_raw(text), dtype="<i4").tolist()

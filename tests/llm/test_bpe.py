@@ -7,6 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from flowlearn.llm import bpe
 from flowlearn.llm.bpe import coder, encode_decode
 
 CONTENT = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
@@ -22,6 +23,15 @@ def test_odd_texts_match():
         assert c.decode(c.encode(t)) == t.encode()
 
 
+def test_spaces_after_white_space_and_small_memo(monkeypatch):
+    monkeypatch.setattr(bpe, "FITS_ENTRIES", 1)
+    c = bpe.ByteBPE.from_rank_file(CONTENT, P.PATTERN)
+    for gap in ("  ", " \n ", "\t ", "   ", "\u3000 ", "\x85 ", "\x1c ", " \xa0 "):
+        for t in (f"unbelieveable{gap}thatthtiorin, 123{gap}'s", f"{gap}a b", f"a b{gap}", gap):
+            assert c.encode(t) == ORACLE.encode_ordinary(t), repr(t)
+    assert len(c.fits) <= 1
+
+
 def test_every_token_is_itself():
     c = coder(CONTENT, P.PATTERN)
     for token, rank in RANKS.items():
