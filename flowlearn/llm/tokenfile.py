@@ -86,7 +86,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as raw bytes of ``dtype``."""
-        if not self.at_added or not self.at_added.search(text):
+        if not any(t in text for t in self.added):
             return self._words(text)
         out, at = [], 0
         for m in self.at_added.finditer(text):
