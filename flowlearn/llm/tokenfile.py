@@ -12,7 +12,8 @@ succeeded, so lost executors and second attempts do no harm.
 
 Ids are those of the tokenizers library, which finds its added tokens in the raw text before
 anything else; so does this. White space ends a word for this tokenizer's normalizer and
-splitter, so each chunk between ASCII white space is encoded on its own and remembered; of chunks in plain Latin letters the pieces are handed to the library's BPE model
+splitter, so each chunk between ASCII white space is encoded on its own and remembered; of
+chunks in printable ASCII and Latin letters the pieces are handed to the library's BPE model
 directly, any other chunk to the whole library.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; repeated
@@ -70,18 +71,19 @@ class Encoder:
         letters = _byte_letters()
         self.shown = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.raw = [i.to_bytes(np.dtype(self.dtype).itemsize, "little") for i in range(self.library.get_vocab_size())]
+        self.tokenize = self.library.model.tokenize
         self.of_piece = Memo(self._piece)
         self.of_chunk = Memo(self._chunk)
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.translate(self.shown)
-        return b"".join([self.raw[t.id] for t in self.library.model.tokenize(shown)])
+        return b"".join([self.raw[t.id] for t in self.tokenize(shown)])
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if _PLAIN.fullmatch(text):
-            of = self.of_piece
-            return b"".join([of[p] for p in _PIECES.findall(text.lower())])
+        if (text.isascii() and text.isprintable()) or _PLAIN.fullmatch(text):
+            low, of = text.lower(), self.of_piece
+            return of[low] if low.isalpha() else b"".join([of[p] for p in _PIECES.findall(low)])
         return b"".join([self.raw[i] for i in self.library.encode(text, add_special_tokens=False).ids])
 
     def encode(self, text: str) -> bytes:
