@@ -62,9 +62,12 @@ def load_dataset(spark: SparkSession, path: str, target: str | int = "last", del
 
 
 def inferred_schema(spark: SparkSession, path: str, rows: int = 10_000) -> tuple[list[str], str]:
-    """Column names, and ``name::type;...`` as inferred from the first ``rows`` rows: the
-    sample is what is asked for."""
-    lines = getattr(spark.read.text(path).limit(rows + 1)._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    """Column names, and ``name::type;...`` as inferred from the first ``rows`` rows of a file:
+    the sample is what is asked for. These rows go through the driver in the order of the
+    file; a limit within a plan would take the splits as they arrive from the executors."""
+    kind = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    first = getattr(spark.read.text(path)._jdf, "as")(kind).takeAsList(rows + 1)
+    lines = spark._jsparkSession.createDataset(first, kind)
     sample = DataFrame(spark.read.option("header", True).option("inferSchema", True)._jreader.csv(lines), spark)
     return sample.columns, ";".join(f"{n}::{t}" for n, t in sample.dtypes)
 

@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +180,27 @@ def test_written_scenarios_and_rejects(spark, tmp_path):
     assert [(r.row_seq, r.reason) for r in flowlog.rejects(bad).orderBy("row_seq").collect()] == [(2, "invalid row structure"), (3, "invalid binary label")]
 
 
+ON_TWO_EXECUTORS = """
+import sys
+from pyspark.sql import SparkSession
+from flowlearn.sources import delimited
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.driver.host", "127.0.0.1").config("spark.ui.enabled", "false").config("spark.sql.files.maxPartitionBytes", "1k").config("spark.sql.files.openCostInBytes", "1k").getOrCreate()
+for path in sys.argv[1:]:
+    assert delimited.inferred_schema(spark, path, 3) == (["n", "word"], "n::int;word::string"), path
+spark.stop()
+"""
+
+
+def test_first_rows_of_files_of_many_splits(tmp_path):
+    """Splits arrive in any order from executors: the header and the types are still those of the first rows."""
+    paths = [tmp_path / f"{k}.csv" for k in range(10)]
+    for path in paths:
+        path.write_text("n,word\n1,a\n2,b\n3,c\n" + "x,y,z\n" * 2000)
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | {"PYTHONPATH": here, "SPARK_HOME": os.path.dirname(pyspark.__file__), "SPARK_WORKER_DIR": str(tmp_path / "work"), "SPARK_LOCAL_IP": "127.0.0.1"}
+    subprocess.run([sys.executable, "-c", ON_TWO_EXECUTORS, *map(str, paths)], check=True, timeout=180, env=env, cwd=tmp_path)
+
+
 def test_csv_files_of_a_folder(spark, tmp_path):
     (tmp_path / "b.CSV").write_text("x,y\n1,a\n2,b\n,c\n")
     (tmp_path / "c.csv").write_text("x\n1\n")
