@@ -7,11 +7,11 @@ distances (base 2, 0 to 1) of its own histograms to both stay within limits. The
 fall with the length, since short texts stray by chance; below ``least_words`` words, or
 where repetition rules out a text, no distance is asked for and the base rule decides.
 
-What is unusual must not become the norm: in the references copies (texts of a language with
-the same least hash of five words in a row) count once, by the text of the least hash, and texts
-count that pass the base rule and whose character classes don't stray from the median of all
-such texts of their language. The references so don't depend on the order or split of the rows.
-A language in which no text passes the base rule has no reference of its own.
+What is unusual must not become the norm: the references count all texts that pass the base
+rule and whose character classes don't stray from the median of all such texts of their
+language, each different text once. Only equal texts are copies: texts that share a passage
+count each, and so do near copies. The references so don't depend on the order or split of the
+rows. A language in which no text passes the base rule has no reference of its own.
 
 Defined results: null and empty texts have no words and fail the base rule; documents
 without a language, or with one that has no words, are held against the reference of all
@@ -67,7 +67,6 @@ _ASCII = np.array([class_of(chr(b)) for b in range(128)] + [len(CLASSES)] * 128)
 _OTHERS = re.compile(r"[^\x00-\x7f]")
 _SPACES, _SIGNS = ([ord(c) for c in group] for group in (SPACE, SYMBOLS))
 _STRIPPED = b".,;:!?'\"()|%&$#*<>-"
-_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
 def plain(word: bytes) -> bytes:
@@ -75,6 +74,11 @@ def plain(word: bytes) -> bytes:
     return (word.lower() if word.isascii() else word.decode().lower().encode()).strip(_STRIPPED)
 
 
+def copy_key(raw: bytes) -> bytes:
+    """A hash of 128 bits of a whole text; texts that share it count as copies."""
+    return xxhash.xxh3_128_digest(raw)
+
+
 class Text:
     """What both passes ask of a text; words are kept as UTF-8."""
 
@@ -135,15 +139,8 @@ class Text:
             by[own[w]].append(w)
         return b"\n".join(b"%d %s" % (n, b" ".join(found)) for n, found in by.items())
 
-    def copy_key(self) -> int:
-        """The least hash of five words in a row; texts that share it count as copies."""
-        h = np.array([xxhash.xxh64_intdigest(w) for w in self.distinct], dtype=np.uint64)[self.ids]
-        k = min(5, len(h))
-        code = np.zeros(len(h) - k + 1, dtype=np.uint64)
-        for j in range(k):
-            code = (code ^ h[j : len(h) - k + 1 + j]) * _FACTOR
-            code ^= code >> _MIX
-        return int(code.min().view(np.int64)) if len(code) else 0
+    def copy_key(self) -> bytes:
+        return copy_key(self.raw)
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -171,27 +168,28 @@ class Reference:
 
 
 def able_texts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang``, ``classes`` (counts) and ``packed`` words of the texts that pass the base rule,
-    copies once."""
+    """``lang``, ``classes`` (counts) and ``packed`` words of all different texts that pass the base
+    rule, once in a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, seen = zstandard.ZstdCompressor(level=PACK_LEVEL).compress, set()
         for b in batches:
             rows = []
-            for t, name, h in zip(texts(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if (name, h) in seen:
+            for t, name in zip(texts(b.column(0)), b.column(1).to_pylist()):
+                key = copy_key(t.encode())
+                if (name, key) in seen:
                     continue
                 if len(seen) < SEEN:
-                    seen.add((name, h))
+                    seen.add((name, key))
                 own = Text(t)
                 if own.n >= LEAST_WORDS and 2 * own.repeat_words() <= own.n:
-                    rows.append((name, own.copy_key(), h, [int(n) for n in own.class_counts()], pack(own.packed_words())))
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["lang", "key", "h", "classes", "packed"])
+                    rows.append((name, key, [int(n) for n in own.class_counts()], pack(own.packed_words())))
+            kinds = [pa.string(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], names=["lang", "key", "classes", "packed"])
 
     own = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("l"))
-    found = own.select("t", "l", F.xxhash64("t").alias("h")).mapInArrow(run, "lang string, key long, h long, classes array<long>, packed binary")
-    return found.groupBy("lang", "key").agg(F.min(F.struct("h", "classes", "packed")).alias("first")).select("lang", "first.classes", "first.packed")
+    found = own.mapInArrow(run, "lang string, key binary, classes array<long>, packed binary")
+    return found.groupBy("lang", "key").agg(F.first(F.struct("classes", "packed")).alias("one")).select("lang", "one.classes", "one.packed")
 
 
 def medians(able: DataFrame) -> dict[str | None, np.ndarray]:

@@ -88,6 +88,18 @@ def test_references_do_not_depend_on_order_or_split(spark):
     assert seen[0][0][2][0] == "xx" and sum(seen[0][0][2][3]) == 360
 
 
+def test_different_texts_that_share_a_passage_all_count(spark):
+    import random
+
+    rng = random.Random(5)
+    made = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = made(60)
+    rows = [(i, f"{made(60)} {passage}", "en") for i in range(80)]
+    rows += [(100 + i, rows[i % 2][1], "en") for i in range(30)]  # equal texts count once
+    ref = d.references(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))["en"]
+    assert ref.words.sum() == 80 * 120 and ref.classes.sum() == sum(len(t) for _, t, _ in rows[:80])
+
+
 def plain_verdicts(rows):
     """Distances and verdicts of (id, text, lang), from the definitions alone."""
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
