@@ -49,8 +49,9 @@ PACK_LEVEL = 6
 #: Texts of which a task remembers the hash, so that it passes exact copies on once; a bound of
 #: memory only, as copies of several tasks meet afterwards.
 SEEN = 500_000
-#: Distinct words that a task holds before it passes their counts on.
-HELD_WORDS = 300_000
+#: Distinct words that a task holds before it passes their counts on, and the partitions of texts
+#: that it counts together: a word is shuffled once a task, so fewer tasks write less.
+HELD_WORDS, TOGETHER = 600_000, 3
 
 #: White space that parts words; signs counted as symbols.
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -247,7 +248,8 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", share: f
         rows = [(name, i, int(n)) for name, c in classes.items() for i, n in enumerate(c)]
         yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "kind": pa.array([1] * len(rows), pa.int32()), "word": pa.array([str(r[1]) for r in rows], pa.string()), "n": pa.array([r[2] for r in rows], pa.int64())})
 
-    found = able.mapInArrow(run, "lang string, kind int, word string, n long")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, able.rdd.getNumPartitions() // TOGETHER)
+    found = able.coalesce(tasks).mapInArrow(run, "lang string, kind int, word string, n long")
     counts = cut(found.groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")))
     everything = counts.groupBy("kind", "word").agg(F.sum("n").alias("n"))
     out: dict[str | None, Reference] = {}
